@@ -71,7 +71,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/moorline-tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._moorline_path = path
+    return back
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a written table that nothing will read again."""
+    _remove(df.sparkSession, df._moorline_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
