@@ -23,13 +23,14 @@ RUN, RADIUS = 15, 3
 BLOCKS = RADIUS + 1  # of 16 bits
 #: Words of items in one block of the query set; 8 bytes a word and 24 a window are broadcast.
 ITEM_WORDS = 500_000
+_and = re.compile(r"(?<!\S)&(?!\S)")
 _tags = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 
 
 def plain_words(text: str) -> list[str]:
-    """Words of a text without markup: character references are read, tags dropped."""
+    """Words of a text without markup: character references are read, a lone & is the word and, tags are dropped."""
     if "&" in text:
-        text = html.unescape(text)
+        text = _and.sub(" and ", html.unescape(text))
     if "<" in text:
         text = _tags.sub(" ", text)
     return words_of(text)

@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from moorline.llm.forms import consistent
 from moorline.llm.graph import components
-from moorline.llm.records import repeat_filter, _spots
-from moorline.session import table, written
+from moorline.llm.records import may_hold, only_in, repeat_filter
+from moorline.session import dropped, table, written
 
 MIN_WORDS, SHARE = 25, 0.8
 BLOCKS, ROWS = 16, 4
 #: A word in more than this share of the bodies is left out of the slots (not of the verification); at most words-per-body / COMMON words are.
-COMMON = 0.03
+COMMON = 0.1
 #: Bodies of fewer rarer words than this also enter blocks over all their words.
-FEW = 8
+FEW = 16
 #: Sketch bits that two near bodies may differ in: at a similarity of 0.8 they differ in 21 of 128 on average, with a deviation of 4.2.
 RADIUS = 40
 
@@ -200,17 +200,8 @@ def fingerprints(toks: DataFrame, common: np.ndarray, key: str = "row_id") -> Da
 def shared_blocks(prints: DataFrame, columns: list[str]) -> DataFrame:
     """key and the columns of every body, for each of its blocks that may be another body's too: others never reach a shuffle."""
     keys = prints.select(F.explode("keys").alias("k"))
-    bits, words = repeat_filter(keys, "k", prints.select(F.sum(F.size("keys"))).first()[0] or 0)
-    shared = prints.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def may_repeat(h):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        w, m = _spots(h.to_numpy(np.int64), words)
-        return pd.Series((np.frombuffer(shared.value, np.uint64)[w] & m) == m)
-
-    return prints.select(F.explode("keys").alias("k"), *columns).filter(may_repeat("k"))
+    held = may_hold(prints.sparkSession, *repeat_filter(keys, "k", prints.select(F.sum(F.size("keys"))).first()[0] or 0))
+    return prints.select(F.explode("keys").alias("k"), *columns).filter(held("k"))
 
 
 def close(a: str, b: str) -> F.Column:
@@ -221,9 +212,9 @@ def close(a: str, b: str) -> F.Column:
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
     """The pairs (a, b) whose words overlap enough; left and right hold key and toks of every a and b. Repeated words count as often as both have them."""
-    # Only bodies of some pair are shuffled to the pairs.
-    a = left.select(F.col(key).alias("a"), F.col("toks").alias("ta"))
-    b = right.select(F.col(key).alias("b"), F.col("toks").alias("tb"))
+    pairs = written(pairs, "pairs")
+    a = only_in(left.select(F.col(key).alias("a"), F.col("toks").alias("ta")), "a", pairs, "a")
+    b = only_in(right.select(F.col(key).alias("b"), F.col("toks").alias("tb")), "b", pairs, "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(a, "a").join(b, "b").filter(shared >= F.ceil(F.greatest(F.size("ta"), F.size("tb")) * F.lit(SHARE) - F.lit(1e-9))).select("a", "b")
 
@@ -236,17 +227,21 @@ def near_links(toks: DataFrame, key: str = "row_id") -> DataFrame:
     """
     prints = written(fingerprints(toks, common_tokens(toks), key), "prints")
     blocks = written(shared_blocks(prints, [key, "n", "s1", "s2"]), "blocks")
+    dropped(prints)
     lead = toks.filter("size(toks) > 0").select(key, "toks")
     size = blocks.groupBy("k").agg(F.min(key).alias("f"), F.count("*").alias("m")).filter("m > 1")
-    of = blocks.join(size, "k")
+    of = written(blocks.join(size, "k").withColumn("m", F.least("m", F.lit(3)).cast("tinyint")), "members")
+    dropped(blocks)
     firsts = of.filter(F.col(key) == F.col("f")).select("k", key, "n", "s1", "s2")
-    star = of.filter(F.col(key) > F.col("f")).alias("y").join(firsts.alias("x"), "k").filter(close("x", "y"))
-    star = star.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
+    star = of.filter(F.col(key) > F.col("f")).select("k", key, "n", "s1", "s2").alias("y").join(firsts.alias("x"), "k").filter(close("x", "y"))
+    star = written(star.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct(), "star")
     links = written(verified(star, lead, lead, key), "links")
-    found = components(links, "star").withColumnRenamed("node", key)
-    some = of.filter("m > 2").join(found, key, "left").withColumn("c", F.coalesce("component", key)).select("k", "c", key, "n", "s1", "s2")
+    found = components(links, "joined").withColumnRenamed("node", key)
+    some = of.filter("m > 2").select("k", key, "n", "s1", "s2").join(found, key, "left").withColumn("c", F.coalesce("component", key)).drop("component")
+    some = written(some, "some")
+    dropped(of)
     mixed = some.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k")
-    left = written(some.join(mixed, "k"), "mixed")
+    left = some.join(mixed, "k", "left_semi")
     cross = left.alias("x").join(left.alias("y"), "k").filter((F.col("x.c") < F.col("y.c")) & close("x", "y"))
     cross = cross.select(F.least(f"x.{key}", f"y.{key}").alias("a"), F.greatest(f"x.{key}", f"y.{key}").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     return links.unionByName(verified(cross, lead, lead, key))

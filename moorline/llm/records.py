@@ -139,14 +139,16 @@ def _fold(once: np.ndarray, again: np.ndarray, word: np.ndarray, mask: np.ndarra
                 once[w] |= m
 
 
-def repeat_filter(hashes: DataFrame, column: str, rows: int) -> tuple[bytes, int]:
+def repeat_filter(hashes: DataFrame, column: str, rows: int, twice: bool = True) -> tuple[bytes, int]:
     """A Bloom filter of the hashes that occur at least twice (and of few others), as bytes, and its number of words.
 
+    With twice=False: of all hashes.
+
     Each partition builds its pair of filters and sends the pieces that it touched; pieces are merged by
     once = a | b, again = ra | rb | (a & b), which misses no repeat. Only the repeats' filter, of at most
     8 * MAX_WORDS bytes, reaches the driver and the executors.
     """
-    words = int(min(MAX_WORDS, max(PIECE, 1 << int(np.ceil(np.log2(max(1, rows) * BITS_PER_ROW / 64))))))
+    words = int(min(MAX_WORDS, max(PIECE, 1 << int(np.ceil(np.log2(max(64, rows) * BITS_PER_ROW / 64))))))
     schema = pa.schema([("piece", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +158,7 @@ def repeat_filter(hashes: DataFrame, column: str, rows: int) -> tuple[bytes, int
             if len(h):
                 _fold(once, again, *_spots(h, words))
         for p in range(0, words, PIECE):
-            a, b = once[p : p + PIECE], again[p : p + PIECE]
+            a, b = once[p : p + PIECE], (again if twice else once)[p : p + PIECE]
             if a.any():
                 yield pa.RecordBatch.from_arrays([pa.array([p // PIECE], pa.int32()), pa.array([zlib.compress(a.tobytes(), 1)]), pa.array([zlib.compress(b.tobytes(), 1)])], schema=schema)
 
@@ -181,21 +183,34 @@ def repeat_filter(hashes: DataFrame, column: str, rows: int) -> tuple[bytes, int
     return full.tobytes(), words
 
 
-def split_repeats(hashes: DataFrame, column: str = "h") -> tuple[DataFrame, DataFrame]:
-    """(rows that may repeat, rows that certainly do not), told apart by the merged filter without a shuffle of rows."""
-    spark = hashes.sparkSession
-    bits, words = repeat_filter(hashes, column, hashes.count())
+def may_hold(spark: SparkSession, bits: bytes, words: int):  # noqa: ANN201
+    """A function of a bigint column: whether a filter of repeat_filter may hold the value."""
     shared = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
-    def may_repeat(h):  # noqa: ANN001, ANN202
+    def held(h):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        filter_ = np.frombuffer(shared.value, np.uint64)
         w, m = _spots(h.to_numpy(np.int64), words)
-        return pd.Series((filter_[w] & m) == m)
+        return pd.Series((np.frombuffer(shared.value, np.uint64)[w] & m) == m)
+
+    return held
+
+
+def only_in(df: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
+    """The rows of df whose value may occur in values (few others remain), without a shuffle of df.
 
-    marked = hashes.withColumn("may_repeat", may_repeat(column))
+    The filter takes mixed values, since ids are not hashes.
+    """
+    mixed = values.select(F.xxhash64(value).alias("h"))
+    held = may_hold(df.sparkSession, *repeat_filter(mixed, "h", values.count(), twice=False))
+    return df.filter(held(F.xxhash64(column)))
+
+
+def split_repeats(hashes: DataFrame, column: str = "h") -> tuple[DataFrame, DataFrame]:
+    """(rows that may repeat, rows that certainly do not), told apart by the merged filter without a shuffle of rows."""
+    spark = hashes.sparkSession
+    marked = hashes.withColumn("may_repeat", may_hold(spark, *repeat_filter(hashes, column, hashes.count()))(column))
     return marked.filter("may_repeat").drop("may_repeat"), marked.filter("not may_repeat").drop("may_repeat")
 
 
