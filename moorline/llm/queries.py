@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moorline.llm import areas, forms, leaks, near, overlap, packing, records, splits, toxic
+from moorline.llm import areas, forms, leaks, near, overlap, packing, personal, records, splits, toxic
 
-_modules = (records, forms, toxic, near, overlap, splits, packing, leaks, areas)
+_modules = (records, forms, toxic, near, overlap, splits, personal, packing, leaks, areas)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
