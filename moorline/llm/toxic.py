@@ -103,7 +103,7 @@ class Model:
         return out
 
     def probabilities(self, rows: list[list[int]]) -> np.ndarray:
-        """Probability of each link for each sentence."""
+        """Probability of each link for each sentence; 0 for a sentence without a known word."""
         lens = np.array([len(r) for r in rows])
         z = np.zeros((len(rows), len(LINKS)))
         if lens.sum():
@@ -113,6 +113,7 @@ class Model:
         p = np.zeros_like(z)
         for k in range(len(LINKS)):
             p[:, k] = 1 / (1 + np.exp(-np.clip(z[:, k] + self.bias[k] + p[:, :k] @ self.chain[:k, k], -30, 30)))
+        p[lens == 0] = 0
         return p
 
 
