@@ -1,8 +1,8 @@
 """Problem 4: bodies that are another body with small edits, and the groups that they form.
 
-Method: pigeonhole blocks. A body's fingerprint is BLOCKS x ROWS slots, each the least hash of its rarer words under one
-of as many hash functions; two fingerprints that differ in fewer than BLOCKS slots share a whole block. Bodies are
-joined on blocks, 128 sketch bits are compared by Hamming distance, and what is left is verified on the words
+Method: pigeonhole blocks. A body's fingerprint is BLOCKS x ROWS slots, each the least hash of its words under one of as
+many hash functions; two fingerprints that differ in fewer than BLOCKS slots share a whole block. A second fingerprint
+over its rarer words is added, which only finds more. Bodies are joined on blocks, 128 sketch bits are compared by Hamming distance, and what is left is verified on the words
 themselves: at least four fifths of the words of the longer body, with repetition, are in the other.
 """
 
@@ -24,10 +24,10 @@ from moorline.session import dropped, table, written
 
 MIN_WORDS, SHARE = 25, 0.8
 BLOCKS, ROWS = 16, 4
-#: A word in more than this share of the bodies is left out of the slots (not of the verification); at most words-per-body / COMMON words are.
+#: A word in more than this share of the bodies is left out of the second fingerprint (not of the first nor of the verification); at most words-per-body / COMMON words are.
 COMMON = 0.1
-#: Bodies of fewer rarer words than this also enter blocks over all their words.
-FEW = 16
+#: Blocks of more bodies than this are split by length, and one side of their pairs by hash, so that no task holds all pairs of a block.
+HOT = 4096
 #: Sketch bits that two near bodies may differ in: at a similarity of 0.8 they differ in 21 of 128 on average, with a deviation of 4.2.
 RADIUS = 40
 
@@ -183,9 +183,7 @@ def fingerprints(toks: DataFrame, common: np.ndarray, key: str = "row_id") -> Da
                         bits |= ((_least(tok, starts, _seeds[BLOCKS * ROWS + half * 64 + j]) >> np.uint64(40)) & np.uint64(1)) << np.uint64(j)
                     sketch.append(bits.view(np.int64))
                 rare = ~np.isin(raw, common)
-                few = np.bincount(doc[rare], minlength=len(n)) < FEW
-                some = few[doc]
-                keys = [_blocks(tok[rare], doc[rare], len(n), 0), _blocks(tok[some], doc[some], len(n), 1000)]
+                keys = [_blocks(tok[rare], doc[rare], len(n), 0), _blocks(tok, doc, len(n), 1000)]
                 keys = np.concatenate(keys, axis=1)
                 scope = batch.column(1).to_numpy().view(np.uint64)
                 keys = np.where(keys != 0, _mix(keys ^ scope[:, None]) | np.uint64(1), np.uint64(0))
@@ -204,6 +202,23 @@ def shared_blocks(prints: DataFrame, columns: list[str]) -> DataFrame:
     return prints.select(F.explode("keys").alias("k"), *columns).filter(held("k"))
 
 
+def block_sizes(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("k").agg(F.count("*").alias("m"))
+
+
+def block_pairs(x: DataFrame, y: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs x.*, y.* of the rows (k, n and more) of x and y that share a block and may be near by length; sizes: k, m (bodies).
+
+    In blocks of more than HOT bodies a row of y is sent to its own and both neighbouring bands of lengths, in each to every slice of x.
+    """
+    parts = sizes.select("k", F.ceil(F.col("m") / HOT).cast("int").alias("_parts"))
+    band = F.when(F.col("_parts") > 1, F.floor(F.log("n") / float(np.log(1 / SHARE) + 1e-6))).otherwise(0).cast("int")
+    x = x.join(parts, "k").withColumn("_band", band).withColumn("_part", F.pmod(F.xxhash64(F.struct(*x.columns)), "_parts").cast("int")).drop("_parts")
+    bands = F.when(F.col("_parts") > 1, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))
+    y = y.join(parts, "k").withColumn("_band", F.explode(bands)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return x.alias("x").join(y.alias("y"), ["k", "_band", "_part"]).filter(close("x", "y"))
+
+
 def close(a: str, b: str) -> F.Column:
     """Length and sketch allow a similarity of SHARE."""
     x = lambda s: F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")))
@@ -226,23 +241,25 @@ def near_links(toks: DataFrame, key: str = "row_id") -> DataFrame:
     components after that, pairs of different components are compared, all of them.
     """
     prints = written(fingerprints(toks, common_tokens(toks), key), "prints")
-    blocks = written(shared_blocks(prints, [key, "n", "s1", "s2"]), "blocks")
+    sketches = written(prints.select(key, "n", "s1", "s2"), "sketches")
+    blocks = written(shared_blocks(prints, [key]), "blocks")
     dropped(prints)
     lead = toks.filter("size(toks) > 0").select(key, "toks")
     size = blocks.groupBy("k").agg(F.min(key).alias("f"), F.count("*").alias("m")).filter("m > 1")
-    of = written(blocks.join(size, "k").withColumn("m", F.least("m", F.lit(3)).cast("tinyint")), "members")
+    of = written(blocks.join(size, "k"), "members")
     dropped(blocks)
-    firsts = of.filter(F.col(key) == F.col("f")).select("k", key, "n", "s1", "s2")
-    star = of.filter(F.col(key) > F.col("f")).select("k", key, "n", "s1", "s2").alias("y").join(firsts.alias("x"), "k").filter(close("x", "y"))
-    star = written(star.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct(), "star")
+    star = of.filter(F.col(key) > F.col("f")).select(F.col("f").alias("a"), F.col(key).alias("b")).distinct()
+    star = star.join(sketches.withColumnRenamed(key, "a"), "a").alias("x").join(sketches.withColumnRenamed(key, "b").alias("y"), "b").filter(close("x", "y"))
+    star = written(star.select("a", "b"), "star")
     links = written(verified(star, lead, lead, key), "links")
     found = components(links, "joined").withColumnRenamed("node", key)
-    some = of.filter("m > 2").select("k", key, "n", "s1", "s2").join(found, key, "left").withColumn("c", F.coalesce("component", key)).drop("component")
+    some = of.filter("m > 2").select("k", key).join(found, key, "left").withColumn("c", F.coalesce("component", key)).drop("component")
     some = written(some, "some")
     dropped(of)
     mixed = some.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k")
-    left = some.join(mixed, "k", "left_semi")
-    cross = left.alias("x").join(left.alias("y"), "k").filter((F.col("x.c") < F.col("y.c")) & close("x", "y"))
+    left = written(some.join(mixed, "k", "left_semi").join(sketches, key), "left")
+    dropped(some)
+    cross = block_pairs(left, left, block_sizes(left)).filter(F.col("x.c") < F.col("y.c"))
     cross = cross.select(F.least(f"x.{key}", f"y.{key}").alias("a"), F.greatest(f"x.{key}", f"y.{key}").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     return links.unionByName(verified(cross, lead, lead, key))
 

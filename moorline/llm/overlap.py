@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorline.llm.near import close, common_tokens, fingerprints, shared_blocks, tokens, verified
+from moorline.llm.near import block_pairs, block_sizes, common_tokens, fingerprints, shared_blocks, tokens, verified
 from moorline.llm.records import keyed, split_repeats
-from moorline.session import table, written
+from moorline.session import dropped, table, written
 
 
 def cross_split_pairs(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -33,9 +33,11 @@ def cross_split_pairs(train: DataFrame, test: DataFrame) -> DataFrame:
     tb = tokens(test, extra="rule").withColumn("split", F.lit("b"))
     toks = written(ta.unionByName(tb), "tokens")
     prints = fingerprints(toks, common_tokens(toks)).join(sides, "row_id")
-    blocks = written(shared_blocks(written(prints, "prints"), ["row_id", "split", "n", "s1", "s2"]), "blocks")
+    prints = written(prints, "prints")
+    blocks = written(shared_blocks(prints, ["row_id", "split", "n", "s1", "s2"]), "blocks")
+    dropped(prints)
     of = lambda s: blocks.filter(F.col("split") == s).drop("split")
-    pairs = of("a").alias("x").join(of("b").alias("y"), "k").filter(close("x", "y")).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
+    pairs = block_pairs(of("a"), of("b"), block_sizes(blocks)).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct()
     lead = lambda s: toks.filter((F.col("split") == s) & (F.size("toks") > 0)).select("row_id", "toks")
     found = verified(pairs, lead("a"), lead("b"))
     members = lambda s, c, name: toks.filter(F.col("split") == s).select(F.col("same").alias(c), F.col("row_id").alias(name))

@@ -119,6 +119,22 @@ def test_near_groups(spark, tmp_path):
     assert near.p4_found(spark, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 5])
+def test_near_on_one_frame(spark, tmp_path, monkeypatch, hot):
+    """Bodies that share a frame of common words and have more than 16 words of their own; blocks above HOT are split."""
+    monkeypatch.setattr(near, "HOT", hot)
+    r = random.Random(8)
+    frame = [f"frame{k}" for k in range(92)]
+    own = lambda i, n: [f"own{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join([*frame, *own(i, 20)][: 112 - i % 3])) for i in range(20)]
+    rows += [(100 + i, " ".join([*frame[:30], *own(100 + i, 60)])) for i in range(10)]
+    rows += [(200 + i, " ".join(r.choices(WORDS, k=40))) for i in range(30)]
+    write(spark, tmp_path, "train", rows, "row_id bigint, body string")
+    want = groups([(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if brute_near(a[1], b[1])])
+    assert {(0, i) for i in range(1, 20)} <= want
+    assert {tuple(x) for x in near.p4_found(spark, str(tmp_path)).collect()} == want
+
+
 def test_cross_split_pairs(spark, tmp_path):
     texts = bodies(5, 80)
     train = [(i, t, "Rule A" if i % 2 else "rule b") for i, t in enumerate(texts[:50])] + [(90, "tiny thing", "Rule A"), (91, None, "Rule A"), (92, texts[0], None)]
