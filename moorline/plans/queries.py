@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -451,10 +452,11 @@ def click_windows(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def streamed_windows(s: SparkSession, d: str) -> DataFrame:
-    """The run log as a stream of what is there: windows of an hour per event, repeats and rows later than a day left out."""
+    """The run log as a stream of what is there: windows of an hour per event, the last ones too; repeats and rows later than a day left out."""
     folder = f"{d}/run_log.parquet"
     out = tempfile.mkdtemp(prefix="stream-", dir=shared_dir(s).removeprefix("file:")) if "://" not in shared_dir(s).removeprefix("file://") else shared_dir(s)
     stream = s.readStream.schema(table(s, d, "run_log").schema).option("recursiveFileLookup", True).parquet(folder if not folder.endswith(".parquet") or _is_dir(folder) else f"{d}/run_log*.parquet")
+    stream = streams.closed(stream, "logged_at", f"{out}/end-{uuid.uuid4().hex}", key="log_id")
     streams.replay(streams.windowed(stream, "logged_at", "event_name", key="log_id"), f"{out}/rows", f"{out}/state").awaitTermination()
     return s.read.schema("window_start timestamp, event_name string, events bigint").parquet(f"{out}/rows")
 

@@ -29,6 +29,13 @@ def windowed(events: DataFrame, time: str, name: str, minutes: int = 60, late: s
     return t.groupBy(F.window("_t", f"{minutes} minutes"), name).agg(F.count("*").alias("events")).select(F.col("window.start").alias("window_start"), name, "events")
 
 
+def closed(stream: DataFrame, time: str, folder: str, key: str | None = None) -> DataFrame:
+    """The stream with an end, written to `folder`: a row later than all others, whose own window is never written, so that a replay of it writes every other window."""
+    spark, of = stream.sparkSession, {time: F.lit("9999-01-01 00:00:00")} | ({key: F.lit(-(2**63))} if key else {})
+    spark.range(1).select(*(of.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema)).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
 def replay(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run over all that is there, then stop; a later call goes on where this one ended."""
     return stream.writeStream.format("parquet").outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

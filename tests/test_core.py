@@ -303,6 +303,15 @@ def test_stream_windows(spark, tmp_path):
     assert {(r.name, r.events) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2)}
 
 
+def test_streamed_windows_to_the_end(spark, tmp_path):
+    from moorline.plans import queries
+
+    rows = [(1, "2025-01-01 00:10:00", "a"), (1, "2025-01-01 00:10:00", "a"), (2, "2025-01-01 00:20:00", "a"), (3, "2025-01-01 05:00:00", "b"), (None, "2025-01-01 05:00:00", None)]
+    spark.createDataFrame(rows, "log_id bigint, t string, event_name string").select("log_id", F.col("t").cast("timestamp_ntz").alias("logged_at"), "event_name").write.parquet(str(tmp_path / "run_log.parquet"))
+    got = {(str(r.window_start), r.event_name, r.events) for r in queries.streamed_windows(spark, str(tmp_path)).select(F.col("window_start").cast("string"), "event_name", "events").collect()}
+    assert got == {("2025-01-01 00:00:00", "a", 2), ("2025-01-01 05:00:00", "b", 1), ("2025-01-01 05:00:00", None, 1)}
+
+
 def test_imports_without_optional_part():
     code = "import sys; sys.modules['moorline.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(n[0] == 'p' and n[1].isdigit() for n in q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
