@@ -350,12 +350,14 @@ def grid_coverage(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def metric_differences(s: SparkSession, d: str) -> DataFrame:
-    """Numbers in which the folds of a cell differ from the cell, beyond the tolerance of a review."""
+    """Numbers in which each fold of a cell differs from the cell, beyond the tolerance of a review."""
     scored = _scored(s, d)
     long = lambda df, keys: df.unpivot(keys, ["log_loss", "brier", "precision", "recall", "f1"], "path", "value")
-    fold = metrics.pointwise(scored.filter("fold = 0"), BY)
-    out = metrics.differing(long(metrics.pointwise(scored, BY), BY), long(fold, BY), BY)
-    return out.select(*BY, "path", r6("expected").alias("expected"), r6("actual").alias("actual"))
+    by = [*BY, "fold"]
+    fold = long(metrics.pointwise(scored, by), by)
+    cell = long(metrics.pointwise(scored, BY), BY).join(fold.select(*by).distinct(), BY)
+    out = metrics.differing(cell, fold, by)
+    return out.select(*BY, "fold", "path", r6("expected").alias("expected"), r6("actual").alias("actual"))
 
 
 # ---- prompts, logits, vectors, batches

@@ -157,6 +157,16 @@ def test_metrics_against_brute_force(spark):
     assert math.isclose(rec.pooled_auc, auc) and rec.confusion_matrix_at_0_5[1][1] == sum(a and b >= 0.5 for a, b in zip(y, p, strict=True))
 
 
+def test_metric_differences_of_every_fold(spark, tmp_path):
+    from moorline.plans import queries
+
+    rows = [(i, "r", i % 2, (0.2, 0.8)[i % 2] if i < 8 else (0.9, 0.4)[i % 2], i // 4, "m", "p") for i in range(12)]
+    spark.createDataFrame(rows, "row_id bigint, rule string, rule_violation int, probability double, fold int, model string, protocol string").write.parquet(str(tmp_path / "oof.parquet"))
+    got = {(r.fold, r.path): r for r in queries.metric_differences(spark, str(tmp_path)).collect()}
+    assert set(got) == {(f, p) for f in range(3) for p in ("log_loss", "brier", "precision", "recall", "f1")}
+    assert all(got[2, p].actual == 0 for p in ("precision", "recall", "f1")) and got[1, "recall"].actual == 1 and math.isclose(got[1, "recall"].expected, 2 / 3, abs_tol=1e-6)
+
+
 def test_ranks(spark):
     v = spark.createDataFrame([(0, 100.0, "a"), (1, 101.0, "a"), (2, 200.0, "b"), (3, -100.0, "a"), (4, 200.0, "b")], "row_id int, m double, rule string")
     got = {r.row_id: r.rank for r in metrics.policy_ranks(v, ["rule"], "m").collect()}
