@@ -175,6 +175,12 @@ def study_training(s: SparkSession, d: str) -> DataFrame:
     return splits.study_fold(table(s, d, "train"), STUDY_RULE)[0].select("body", "rule", "rule_violation", big("repeat").alias("repeat"))
 
 
+@query
+def study_training_all(s: SparkSession, d: str) -> DataFrame:
+    """The training pairs of the studies that leave each rule out, in all its spellings of one normalised text."""
+    return splits.study_folds(table(s, d, "train")).select("fold_rule", "body", "rule", "rule_violation", big("repeat").alias("repeat"))
+
+
 # ---- TF-IDF
 
 

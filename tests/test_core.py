@@ -125,6 +125,20 @@ def test_splits(spark):
         support.check_study(training.union(queries.limit(1).select("body", "rule", F.lit(1), F.lit(1))), queries)
 
 
+def test_study_of_every_rule(spark, tmp_path):
+    from moorline.plans import queries
+
+    t = frame(spark, 12, ("No ads", "Be kind", "No spam"))
+    t.withColumn("body", F.when(F.col("row_id") == 105, F.lit("body 0 4 TEXT")).otherwise(F.col("body"))).write.parquet(str(tmp_path / "train.parquet"))
+    plain = spark.read.parquet(str(tmp_path / "train.parquet"))
+    want = {(rule.lower(), *r) for rule in ("No ads", "Be kind", "No spam") for r in splits.study_fold(plain, rule)[0].collect()}
+    assert {tuple(r) for r in splits.study_folds(plain).collect()} == want
+    respelled = plain.withColumn("rule", F.when(F.col("row_id") == 3, F.lit("NO  ads")).otherwise(F.col("rule")))
+    respelled.write.parquet(str(tmp_path / "b" / "train.parquet"))
+    got = queries.queries()["study_training_all"](spark, str(tmp_path / "b")).filter("fold_rule = 'no ads'").collect()
+    assert not any(r.body.startswith("Body 0") for r in got) and {r.fold_rule for r in got} == {"no ads"}
+
+
 def scored(spark, y, p, rules):
     return spark.createDataFrame([(i, r, a, float(b)) for i, (a, b, r) in enumerate(zip(y, p, rules, strict=True))], "row_id bigint, rule string, rule_violation int, probability double")
 
