@@ -62,14 +62,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
-    The table is removed when the driver's process ends.
+    by: a column that divides the files. The table is removed when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/moorline-tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     atexit.register(_remove, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._moorline_path = path
