@@ -1,15 +1,19 @@
 """Problem 4: bodies that are another body with small edits, and the groups that they form.
 
-Method: pigeonhole blocks. A body's fingerprint is BLOCKS x ROWS slots, each the least hash of its words under one of as
-many hash functions; two fingerprints that differ in fewer than BLOCKS slots share a whole block. A second fingerprint
-over its rarer words is added, which only finds more. Bodies are joined on blocks, 128 sketch bits are compared by Hamming distance, and what is left is verified on the words
-themselves: at least four fifths of the words of the longer body, with repetition, are in the other.
+Method: pigeonhole blocks. A body is a set of numbered words (the second "the" is another element than the first), in
+one order for all bodies, rare words first. Two bodies of which at least SHARE of the longer's words are in the other
+leave out at most n - ceil(SHARE * n) words of either, so of the first n - ceil(SHARE * n) + 1 words of each at least
+one is shared: those words are a body's blocks, and no near pair is without a common block. Within blocks the bodies'
+parity codes (each word flips one bit) are compared: every word that one of two bodies lacks changes at most one bit,
+so near bodies differ in at most n + m - 2 * ceil(SHARE * max(n, m)) bits. Neither step loses a pair; what is left is
+verified on the words themselves.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,29 +23,37 @@ from pyspark.sql import functions as F
 
 from moorline.llm.forms import consistent
 from moorline.llm.graph import components
-from moorline.llm.records import may_hold, only_in, repeat_filter
-from moorline.session import dropped, table, written
+from moorline.llm.records import only_in
+from moorline.session import table, written
 
 MIN_WORDS, SHARE = 25, 0.8
-BLOCKS, ROWS = 16, 4
-#: A word in more than this share of the bodies is left out of the second fingerprint (not of the first nor of the verification); at most words-per-body / COMMON words are.
-COMMON = 0.1
-#: Blocks of more bodies than this are split by length, and one side of their pairs by hash, so that no task holds all pairs of a block.
-HOT = 4096
-#: Sketch bits that two near bodies may differ in: at a similarity of 0.8 they differ in 21 of 128 on average, with a deviation of 4.2.
-RADIUS = 40
+#: Bodies of one block that one task compares; larger blocks are dealt to cells.
+HOT = 8192
+#: Words whose order by frequency is known to all tasks (the most frequent of those that occur twice; 8 bytes each are
+#: broadcast). The others come before them, by their hash. Any order is right; a better one makes smaller blocks.
+RANKED = 1 << 19
+_CELLS = 1 << 21
 
 _words = re.compile(r"[^\W_]+")
 _apostrophes = re.compile("['’‘ʼ＇]")
+_to_words = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
     """Words of the consistent form: runs of letters or digits, case ignored, apostrophes dropped."""
-    return _words.findall(_apostrophes.sub("", consistent(text) or "").casefold())
+    return [w.decode() for w in word_bytes(text)]
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """The same words in UTF-8."""
+    s = consistent(text) or ""
+    if s.isascii():
+        return s.lower().encode().translate(_to_words, b"'").split()
+    return " ".join(_words.findall(_apostrophes.sub("", s).casefold())).encode().split()
 
 
 class _Ids(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) > 500_000:
             self.clear()
         self[word] = h = xxhash.xxh32_intdigest(word)
@@ -56,17 +68,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _numbered(ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """32-bit tokens of words, told apart by how often the word came before in its body, in the order of the text."""
+    """32-bit elements of bodies one after another: words told apart by how often they came before in their body. The order within a body is lost."""
     doc = np.repeat(np.arange(len(lens), dtype=np.uint64), lens)
-    order = np.argsort((doc << np.uint64(32)) | ids, kind="stable")
-    s, d = ids[order], doc[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-    start = np.flatnonzero(new)
-    nth = np.arange(len(s)) - start[np.cumsum(new) - 1]
-    out = np.empty(len(s), np.uint64)
-    out[order] = _mix(s + (nth.astype(np.uint64) << np.uint64(32))) >> np.uint64(32)
-    return out
+    s = np.sort((doc << np.uint64(32)) | ids)
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    nth = np.arange(len(s), dtype=np.uint64) - np.repeat(start, np.diff(np.append(start, len(s)))).astype(np.uint64)
+    return _mix((s & np.uint64(0xFFFFFFFF)) + (nth << np.uint64(32))) >> np.uint64(32)
 
 
 def tokens(df: DataFrame, key: str = "row_id", body: str = "body", extra: str | None = None, least: int = MIN_WORDS) -> DataFrame:
@@ -82,147 +89,306 @@ def tokens(df: DataFrame, key: str = "row_id", body: str = "body", extra: str |
         from moorline.llm.records import hashed, squeeze
 
         word_id, first, scopes = _Ids(), {}, {}
-        for batch in batches:
-            ids, flat, lens, scope = [], [], [], []
-            for i, b, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not b:
-                    continue
-                w = words_of(b)
-                if len(w) < least:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                ids, flat, lens, scope = [], [], [], []
+                for i, b, r in zip(*(c.to_pylist() for c in whole.slice(at, 2000).columns), strict=True):
+                    if not b:
+                        continue
+                    w = word_bytes(b)
+                    if len(w) < least:
+                        continue
+                    ids.append(i)
+                    flat += map(word_id.__getitem__, w)
+                    lens.append(len(w))
+                    if r not in scopes:
+                        if len(scopes) > 10_000:
+                            scopes.clear()
+                        scopes[r] = hashed(squeeze(consistent(r))) if r else 0
+                    scope.append(scopes[r])
+                if not ids:
                     continue
-                ids.append(i)
-                flat += [word_id[x] for x in w]
-                lens.append(len(w))
-                if r not in scopes:
-                    if len(scopes) > 10_000:
-                        scopes.clear()
-                    scopes[r] = hashed(squeeze(consistent(r))) if r else 0
-                scope.append(scopes[r])
-            if not ids:
-                continue
-            n = np.array(lens)
-            tok = _numbered(np.array(flat, np.uint64), n)
-            ends = np.cumsum(n)
-            bag = np.add.reduceat(_mix(tok + np.uint64(1)), ends - n).view(np.int64)
-            same = [first.setdefault((s, int(h)), i) for s, h, i in zip(scope, bag, ids, strict=True)]
-            if len(first) > 200_000:
-                first.clear()
-            lead = np.array([a == b for a, b in zip(same, ids, strict=True)])
-            keep = np.repeat(lead, n)
-            offsets = np.concatenate([[0], np.cumsum(np.where(lead, n, 0))]).astype(np.int32)
-            toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok[keep].astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.int64()), pa.array(scope, pa.int64()), pa.array(bag), pa.array(n.astype(np.int32)), toks], schema=pa.schema(fields))
+                n = np.array(lens)
+                tok = _numbered(np.array(flat, np.uint64), n)
+                ends = np.cumsum(n)
+                bag = np.add.reduceat(_mix(tok + np.uint64(1)), ends - n).view(np.int64)
+                same = [first.setdefault((s, int(h)), i) for s, h, i in zip(scope, bag, ids, strict=True)]
+                if len(first) > 200_000:
+                    first.clear()
+                lead = np.array([a == b for a, b in zip(same, ids, strict=True)])
+                keep = np.repeat(lead, n)
+                offsets = np.concatenate([[0], np.cumsum(np.where(lead, n, 0))]).astype(np.int32)
+                toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok[keep].astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.int64()), pa.array(scope, pa.int64()), pa.array(bag), pa.array(n.astype(np.int32)), toks], schema=pa.schema(fields))
 
     columns = [F.col(key).cast("bigint").alias(key), F.col(body), (F.col(extra) if extra else F.lit(None).cast("string")).alias("_scope")]
     return df.select(*columns).mapInArrow(run, f"{key} bigint, same bigint, scope bigint, bag bigint, n int, toks array<int>")
 
 
-def common_tokens(toks: DataFrame) -> np.ndarray:
-    """The tokens in more than COMMON of the bodies, counted over all of them; at most mean length / COMMON."""
+class Order(NamedTuple):
+    """The frequent elements, their numbers of bodies, and whether any element that is not listed occurs once."""
+
+    element: np.ndarray
+    bodies: np.ndarray
+    whole: bool
+
+
+def frequencies(toks: DataFrame) -> Order:
+    """How many bodies hold an element, counted over all bodies, of the RANKED most frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+        held, size = [], 0
+
+        def added():  # noqa: ANN202
+            t, at = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
+            return t, np.bincount(at, np.concatenate([b for _, b in held]), len(t)).astype(np.int64)
+
         for batch in batches:
-            u, c = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-            for a, b in zip(u.tolist(), c.tolist(), strict=True):
-                total[a] = total.get(a, 0) + b
-            if len(total) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(total.values(), pa.int64())], names=["t", "c"])
-                total = {}
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(total.values(), pa.int64())], names=["t", "c"])
-
-    lead = toks.filter("size(toks) > 0").select("toks")
-    n = lead.count()
-    rows = lead.mapInArrow(count, "t int, c bigint").groupBy("t").agg(F.sum("c").alias("c")).filter(F.col("c") > COMMON * n).select("t").collect()
-    return np.sort(np.array([r.t for r in rows], np.int32))
-
-
-_seeds = np.random.default_rng(20).integers(1, 1 << 62, BLOCKS * ROWS + 128, dtype=np.uint64) | np.uint64(1)
-
-
-def _least(tok: np.ndarray, starts: np.ndarray, seed: np.uint64) -> np.ndarray:
-    h = (tok + np.uint64(0x632BE5AB)) * seed
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return np.minimum.reduceat(h, starts)
-
-
-def _blocks(tok: np.ndarray, doc: np.ndarray, docs: int, salt: int) -> np.ndarray:
-    """docs x BLOCKS block keys; a document without a token gets keys of its own later on (0 here)."""
-    out = np.zeros((docs, BLOCKS), np.uint64)
-    if not len(tok):
-        return out
-    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    has = doc[starts]
-    for j in range(BLOCKS):
-        k = np.full(len(has), j + 1 + salt, np.uint64)
-        for r in range(ROWS):
-            k = _mix(k * np.uint64(0x100000001B3) ^ _least(tok, starts, _seeds[j * ROWS + r]))
-        out[has, j] = k | np.uint64(1)
+            held.append(np.unique(batch.column(0).flatten().to_numpy(), return_counts=True))
+            size += len(held[-1][0])
+            if size > 4_000_000:
+                held = [added()]
+                size = len(held[0][0])
+                if size > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["t", "c"])
+                    held, size = [], 0
+        if held:
+            t, c = added()
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c)], names=["t", "c"])
+
+    counts = toks.filter("size(toks) > 0").select("toks").mapInArrow(count, "t int, c bigint").groupBy("t").agg(F.sum("c").alias("c")).filter("c > 1")
+    top = counts.orderBy(F.desc("c"), "t").limit(RANKED).toPandas()
+    return Order(top.t.to_numpy(np.int32).view(np.uint32), top.c.to_numpy(np.int64), len(top) < RANKED)
+
+
+def _ranks(order: Order) -> np.ndarray:
+    """A rank for every cell of an element's low bits: 0 where no listed element falls, else rising with the frequency."""
+    total = np.zeros(_CELLS, np.int64)
+    np.add.at(total, order.element & np.uint32(_CELLS - 1), order.bodies)
+    used = np.flatnonzero(total)
+    out = np.zeros(_CELLS, np.uint32)
+    out[used[np.argsort(total[used], kind="stable")]] = np.arange(1, len(used) + 1, dtype=np.uint32)
     return out
 
 
-def fingerprints(toks: DataFrame, common: np.ndarray, key: str = "row_id") -> DataFrame:
-    """key, scope, n, s1, s2 (128 sketch bits), keys (block keys, in which scope takes part)."""
-    ddl = f"{key} bigint, scope bigint, n int, s1 bigint, s2 bigint, keys array<bigint>"
-    fields = pa.schema([(key, pa.int64()), ("scope", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """How many words a body of at most n words must share with one of n words to be near."""
+    return np.ceil(n * SHARE - 1e-9).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                n = batch.column(2).to_numpy().astype(np.int64)
-                raw = batch.column(3).flatten().to_numpy()
-                tok, doc = raw.view(np.uint32).astype(np.uint64), np.repeat(np.arange(len(n)), n)
-                starts = np.cumsum(n) - n
-                sketch = []
-                for half in range(2):
-                    bits = np.zeros(len(n), np.uint64)
-                    for j in range(64):
-                        bits |= ((_least(tok, starts, _seeds[BLOCKS * ROWS + half * 64 + j]) >> np.uint64(40)) & np.uint64(1)) << np.uint64(j)
-                    sketch.append(bits.view(np.int64))
-                rare = ~np.isin(raw, common)
-                keys = [_blocks(tok[rare], doc[rare], len(n), 0), _blocks(tok, doc, len(n), 1000)]
-                keys = np.concatenate(keys, axis=1)
-                scope = batch.column(1).to_numpy().view(np.uint64)
-                keys = np.where(keys != 0, _mix(keys ^ scope[:, None]) | np.uint64(1), np.uint64(0))
-                used = keys != 0
-                offsets = np.concatenate([[0], np.cumsum(used.sum(1))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[used].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sketch[0]), pa.array(sketch[1]), lists], schema=fields)
 
-    return toks.filter("size(toks) > 0").select(key, "scope", "n", "toks").mapInArrow(run, ddl)
+def code_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of a parity code: a power of two, two to four bits for each word of the body."""
+    return 1 << np.maximum(1, np.ceil(np.log2(np.maximum(n, 1) / 32)).astype(np.int64))
+
 
+def parity_codes(tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all codes' words one after another, number of words of each)."""
+    width = code_words(n)
+    base = np.cumsum(width) - width
+    bit = _mix(tok ^ np.uint64(0x5851F42D)) >> np.uint64(24)
+    word = np.repeat(base, n) + ((bit >> np.uint64(6)) & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int(width.sum()), np.uint64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (bit & np.uint64(63)))
+    return out, width
 
-def shared_blocks(prints: DataFrame, columns: list[str]) -> DataFrame:
-    """key and the columns of every body, for each of its blocks that may be another body's too: others never reach a shuffle."""
-    keys = prints.select(F.explode("keys").alias("k"))
-    held = may_hold(prints.sparkSession, *repeat_filter(keys, "k", prints.select(F.sum(F.size("keys"))).first()[0] or 0))
-    return prints.select(F.explode("keys").alias("k"), *columns).filter(held("k"))
 
+def blocks(toks: DataFrame, order: Order, key: str = "row_id", codes: bool = True) -> DataFrame:
+    """k, key, n, place, code of the blocks of every body: its elements up to the last that a near body must share, rare ones first. The scope takes part in k.
 
-def block_sizes(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("k").agg(F.count("*").alias("m"))
+    An element of one body alone is no block. With codes=False only k.
+    """
+    shared = toks.sparkSession.sparkContext.broadcast(order)
+    ddl = f"k bigint, {key} bigint, n int, place int, code binary" if codes else "k bigint"
+    fields = [("k", pa.int64()), (key, pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("code", pa.binary())][: 5 if codes else 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, whole = _ranks(shared.value), shared.value.whole
+        for all_ in batches:
+            for at in range(0, all_.num_rows, 2000):
+                batch = all_.slice(at, 2000)
+                n = batch.column(2).to_numpy().astype(np.int64)
+                tok = batch.column(3).flatten().to_numpy().view(np.uint32).astype(np.uint64)
+                doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+                s = np.sort((doc << np.uint64(53)) | (rank[tok & np.uint64(_CELLS - 1)].astype(np.uint64) << np.uint64(32)) | tok)
+                place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+                use = place <= np.repeat(n - least_shared(n), n)
+                if whole:
+                    use &= (s >> np.uint64(32)) & np.uint64((1 << 21) - 1) > 0
+                s, place, doc = s[use] & np.uint64(0xFFFFFFFF), place[use].astype(np.int32), (s[use] >> np.uint64(53)).astype(np.int64)
+                scope = batch.column(1).to_numpy().view(np.uint64)
+                k = pa.array(_mix(s + _mix(scope[doc])).view(np.int64))
+                if not codes:
+                    yield pa.RecordBatch.from_arrays([k], schema=pa.schema(fields))
+                    continue
+                code, width = parity_codes(tok, n)
+                each = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(width * 8)]).astype(np.int32)), pa.py_buffer(code)])
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([k, batch.column(0).take(take), batch.column(2).take(take), pa.array(place), each.take(take)], schema=pa.schema(fields))
 
+    return toks.filter("size(toks) > 0").select(key, "scope", "n", "toks").mapInArrow(run, ddl)
 
-def block_pairs(x: DataFrame, y: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs x.*, y.* of the rows (k, n and more) of x and y that share a block and may be near by length; sizes: k, m (bodies).
 
-    In blocks of more than HOT bodies a row of y is sent to its own and both neighbouring bands of lengths, in each to every slice of x.
+# ---- pairs of a block ------------------------------------------------------------------------------------------------
+
+
+class _Bodies:
+    """Bodies of one block in the order of their lengths, their codes folded as needed."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, place: np.ndarray, codes: list[bytes]) -> None:
+        o = np.argsort(n, kind="stable")
+        self.id, self.n, self.place = ids[o], n[o].astype(np.int64), place[o].astype(np.int64)
+        self.least, self.codes, self.folded = least_shared(self.n), [codes[i] for i in o], {}
+
+    def fold(self, width: int, since: int) -> np.ndarray:
+        """Codes of `width` words of the bodies from `since` on, whose own are at least as wide; of the ones before it zeros."""
+        if width not in self.folded:
+            own = code_words(self.n)
+            out = np.zeros((width, len(own)), np.uint64)
+            for w in np.unique(own[own >= width]):
+                at = np.flatnonzero(own == w)
+                c = np.frombuffer(b"".join([self.codes[i] for i in at]), np.uint64).reshape(len(at), w // width, width)
+                out[:, at] = np.bitwise_xor.reduce(c, axis=1).T
+            self.folded[width] = out
+        return self.folded[width][:, since:]
+
+
+def close_pairs(x: _Bodies, y: _Bodies | None = None, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of x and y (of x with itself) that length, places and codes allow to be near."""
+    alone, y = y is None, x if y is None else y
+    left, right = [], []
+    for i in range(0, len(x.n), step):
+        j = min(i + step, len(x.n))
+        a = i if alone else int(np.searchsorted(y.n, x.least[i], "left"))
+        b = int(np.searchsorted(y.least, x.n[j - 1], "right"))
+        if a >= b:
+            continue
+        width = int(min(code_words(x.n[i : i + 1])[0], code_words(y.n[a : a + 1])[0]))
+        p, q = x.fold(width, i)[:, : j - i], y.fold(width, a)[:, : b - a]
+        far = np.zeros((j - i, b - a), np.int16)
+        for w in range(width):
+            far += np.bitwise_count(p[w][:, None] ^ q[w][None, :])
+        d = lambda s: s.astype(np.int16 if x.n[j - 1] + y.n[b - 1] < 10_000 else np.int64)
+        most = d(x.n[i:j])[:, None] + d(y.n[a:b])[None, :] - 2 * np.maximum(d(x.least[i:j])[:, None], d(y.least[a:b])[None, :])
+        r, c = np.nonzero(far <= most)
+        most = most[r, c]
+        r, c = r + i, c + a
+        # What comes before the first shared element is in one body alone; and each must be long enough for the other.
+        ok = (x.place[r] + y.place[c] <= most) & (np.minimum(x.n[r], y.n[c]) >= np.maximum(x.least[r], y.least[c]))
+        ok &= r < c if alone else x.id[r] != y.id[c]
+        left.append(x.id[r[ok]])
+        right.append(y.id[c[ok]])
+    cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+    return cat(left), cat(right)
+
+
+def _few_pairs(block: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, side: np.ndarray, codes: pa.Array, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """close_pairs of many small blocks at once; rows in the order of blocks."""
+    size = np.bincount(block)
+    end = np.repeat(np.cumsum(size), size)
+    more = end - np.arange(len(block)) - 1
+    i = np.repeat(np.arange(len(block)), more)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more) + i + 1
+    if not alone:
+        ok = side[i] != side[j]
+        i, j = i[ok], j[ok]
+    least = least_shared(n)
+    most = n[i] + n[j] - 2 * np.maximum(least[i], least[j])
+    ok = (np.minimum(n[i], n[j]) >= np.maximum(least[i], least[j])) & (place[i] + place[j] <= most) & (ids[i] != ids[j])
+    i, j, most = i[ok], j[ok], most[ok]
+    width = code_words(n)
+    two = np.zeros((len(n), 2), np.uint64)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        c = np.frombuffer(b"".join(codes.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), w // 2, 2)
+        two[at] = np.bitwise_xor.reduce(c, axis=1)
+    ok = np.bitwise_count(two[i] ^ two[j]).sum(1) <= most
+    i, j = i[ok], j[ok]
+    swap = (side[i] > side[j]) if not alone else np.zeros(len(i), bool)
+    return np.where(swap, ids[j], ids[i]), np.where(swap, ids[i], ids[j])
+
+
+def block_pairs(rows: DataFrame, key: str, alone: bool) -> DataFrame:
+    """a, b: the pairs of bodies of a block that may be near, once a block. rows: k, key, n, place, code, side.
+
+    alone: any two bodies of a block (a < b), else one of side 0 (a) and one of side 1 (b). Blocks hold HOT bodies a side
+    at most; they come sorted, one after another.
     """
-    parts = sizes.select("k", F.ceil(F.col("m") / HOT).cast("int").alias("_parts"))
-    band = F.when(F.col("_parts") > 1, F.floor(F.log("n") / float(np.log(1 / SHARE) + 1e-6))).otherwise(0).cast("int")
-    x = x.join(parts, "k").withColumn("_band", band).withColumn("_part", F.pmod(F.xxhash64(F.struct(*x.columns)), "_parts").cast("int")).drop("_parts")
-    bands = F.when(F.col("_parts") > 1, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))
-    y = y.join(parts, "k").withColumn("_band", F.explode(bands)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return x.alias("x").join(y.alias("y"), ["k", "_band", "_part"]).filter(close("x", "y"))
-
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def send(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        if alone:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        k = t.column(0).to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(start, len(k)))
+        ids, n, place, side = (t.column(c).to_numpy() for c in (1, 2, 3, 5))
+        code = t.column(4).combine_chunks()
+        few = np.flatnonzero((size > 1) & (size <= 24))
+        for lo in range(0, len(few), 4000):
+            take = few[lo : lo + 4000]
+            at = np.repeat(start[take] - np.cumsum(size[take]) + size[take], size[take]) + np.arange(size[take].sum())
+            a, b = _few_pairs(np.repeat(np.arange(len(take)), size[take]), ids[at], n[at].astype(np.int64), place[at].astype(np.int64), side[at], code.take(pa.array(at)), alone)
+            if len(a):
+                yield send(a, b)
+        for s in np.flatnonzero(size > 24):
+            lo, hi = start[s], start[s] + size[s]
+            of = lambda at: _Bodies(ids[at], n[at], place[at], code.take(pa.array(at)).to_pylist())
+            at = np.arange(lo, hi)
+            if alone:
+                a, b = close_pairs(of(at))
+            else:
+                x, y = at[side[at] == 0], at[side[at] == 1]
+                if not len(x) or not len(y):
+                    continue
+                a, b = close_pairs(of(x), of(y))
+            if len(a):
+                yield send(a, b)
 
-def close(a: str, b: str) -> F.Column:
-    """Length and sketch allow a similarity of SHARE."""
-    x = lambda s: F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")))
-    return (F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")) * SHARE) & (x("s1") + x("s2") <= RADIUS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < 50_000:
+                continue
+            t = pa.Table.from_batches(held)
+            k = t.column(0).to_numpy()
+            cut = int(np.searchsorted(k, k[-1], "left"))  # the last block may go on
+            if cut:
+                yield from whole(t.slice(0, cut))
+                held, size = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+        if size:
+            yield from whole(pa.Table.from_batches(held))
+
+    rows = rows.select("k", key, "n", "place", "code", "side").repartition("k").sortWithinPartitions("k")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def hot_blocks(toks: DataFrame, order: Order, key: str, hot: int) -> DataFrame | None:
+    """k of the blocks of more than `hot` bodies; None where no element is in so many."""
+    if order.whole and not (order.bodies > hot).any():
+        return None
+    return written(blocks(toks, order, key, codes=False).groupBy("k").agg(F.count("*").alias("m")).filter(F.col("m") > hot).select("k"), "hot")
+
+
+def cells(x: DataFrame, y: DataFrame, hot: int) -> DataFrame:
+    """Rows for block_pairs of the bodies x (side 0) and y (side 1) of large blocks: every x meets every y of a like length in one cell, of about `hot` bodies a side at most."""
+    at = ["k", "_band"]
+    band = F.floor(F.log("n") / float(np.log(1 / SHARE))).cast("int")
+    x = x.withColumn("_band", band)
+    y = y.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    parts = lambda df, name: df.groupBy(*at).agg(F.ceil(F.count("*") / hot).cast("int").alias(name))
+    size = written(parts(x, "_px").join(parts(y, "_py"), at), "sizes")
+    slot = lambda name: F.pmod(F.xxhash64(F.col("place"), F.col("code"), F.col("n"), *(c for c in x.columns if c.endswith("_id"))), F.col(name)).cast("int")
+    all_ = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    x = x.join(size, at).withColumn("_i", slot("_px")).withColumn("_j", all_("_py")).withColumn("side", F.lit(0))
+    y = y.join(size, at).withColumn("_j", slot("_py")).withColumn("_i", all_("_px")).withColumn("side", F.lit(1))
+    both = x.unionByName(y)
+    return both.withColumn("k", F.xxhash64("k", "_band", "_i", "_j")).drop("_band", "_i", "_j", "_px", "_py")
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
@@ -234,48 +400,37 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, key: str = "ro
     return pairs.join(a, "a").join(b, "b").filter(shared >= F.ceil(F.greatest(F.size("ta"), F.size("tb")) * F.lit(SHARE) - F.lit(1e-9))).select("a", "b")
 
 
-def near_links(toks: DataFrame, key: str = "row_id") -> DataFrame:
-    """a, b: enough verified links between bodies to connect all that are near, never all pairs of a group.
+def near_links(toks: DataFrame, key: str = "row_id", hot: int | None = None) -> DataFrame:
+    """a, b: enough verified links between bodies to connect all that are near.
 
-    First every body of a block is held against the block's first. Where a block still holds bodies of different
-    components after that, pairs of different components are compared, all of them.
+    Blocks of up to `hot` bodies are compared in one task each. In a larger block every body is first held against the
+    block's first; only those that are not near to it are then compared with the others, in cells.
     """
-    prints = written(fingerprints(toks, common_tokens(toks), key), "prints")
-    sketches = written(prints.select(key, "n", "s1", "s2"), "sketches")
-    blocks = written(shared_blocks(prints, [key]), "blocks")
-    dropped(prints)
+    order, hot = frequencies(toks), hot or HOT
     lead = toks.filter("size(toks) > 0").select(key, "toks")
-    size = blocks.groupBy("k").agg(F.min(key).alias("f"), F.count("*").alias("m")).filter("m > 1")
-    of = written(blocks.join(size, "k"), "members")
-    dropped(blocks)
-    star = of.filter(F.col(key) > F.col("f")).select(F.col("f").alias("a"), F.col(key).alias("b")).distinct()
-    star = star.join(sketches.withColumnRenamed(key, "a"), "a").alias("x").join(sketches.withColumnRenamed(key, "b").alias("y"), "b").filter(close("x", "y"))
-    star = written(star.select("a", "b"), "star")
-    links = written(verified(star, lead, lead, key), "links")
-    found = components(links, "joined").withColumnRenamed("node", key)
-    some = of.filter("m > 2").select("k", key).join(found, key, "left").withColumn("c", F.coalesce("component", key)).drop("component")
-    some = written(some, "some")
-    dropped(of)
-    mixed = some.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("k")
-    left = written(some.join(mixed, "k", "left_semi").join(sketches, key), "left")
-    dropped(some)
-    cross = block_pairs(left, left, block_sizes(left)).filter(F.col("x.c") < F.col("y.c"))
-    cross = cross.select(F.least(f"x.{key}", f"y.{key}").alias("a"), F.greatest(f"x.{key}", f"y.{key}").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return links.unionByName(verified(cross, lead, lead, key))
-
-
-def near_groups(df: DataFrame, key: str = "row_id", body: str = "body") -> DataFrame:
+    rows = blocks(toks, order, key).withColumn("side", F.lit(0))
+    large = hot_blocks(toks, order, key, hot)
+    if large is None or large.isEmpty():
+        return verified(block_pairs(rows, key, alone=True), lead, lead, key)
+    links = verified(block_pairs(rows.join(large, "k", "left_anti"), key, alone=True), lead, lead, key)
+    of = written(rows.drop("side").join(large, "k"), "members")
+    first = of.groupBy("k").agg(F.min(key).alias("a"))
+    star = of.join(first, "k").filter(F.col(key) > F.col("a")).select("a", F.col(key).alias("b")).distinct()
+    star = written(verified(star, lead, lead, key), "star")
+    linked = star.join(first, "a").select("k", F.col("b").alias(key)).unionByName(first.select("k", F.col("a").alias(key)))
+    alone = of.join(linked, ["k", key], "left_anti")
+    cross = block_pairs(cells(alone, of, hot), key, alone=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links.unionByName(star).unionByName(verified(cross, lead, lead, key))
+
+
+def near_groups(df: DataFrame, key: str = "row_id", body: str = "body", hot: int | None = None) -> DataFrame:
     """first_row_id, row_id of every body of at least MIN_WORDS words: the group's smallest row_id (its own where it is alone).
 
     Null, blank and shorter bodies have no row; equal bodies, also under many ids, are one group; repeated rows count once.
     """
     toks = written(tokens(df, key, body), "tokens")
     ids = toks.filter(F.col(key) != F.col("same")).select(F.col("same").alias("a"), F.col(key).alias("b"))
-    lead = toks.filter("size(toks) > 0")
-    bags = lead.groupBy("bag", "n").agg(F.min(key).alias("a"), F.count("*").alias("m")).filter("m > 1")
-    equal = lead.join(bags, ["bag", "n"]).filter(F.col(key) > F.col("a")).select("a", F.col(key).alias("b"))
-    links = near_links(toks, key)
-    groups = components(links.unionByName(ids).unionByName(equal), "near").select(F.col("node").alias(key), F.col("component").alias("first_row_id"))
+    groups = components(near_links(toks, key, hot).unionByName(ids), "near").select(F.col("node").alias(key), F.col("component").alias("first_row_id"))
     return toks.select(key).distinct().join(groups, key, "left").select(F.coalesce("first_row_id", key).alias("first_row_id"), F.col(key))
 
 

@@ -106,7 +106,13 @@ def keyed(df: DataFrame, key: str = "row_id", body: str = "body", rule: str = "r
 
 # The filter: words of 64 bits, four bits of one word for each hash, in pieces of PIECE words.
 PIECE = 1 << 13
-BITS_PER_ROW, MAX_WORDS = 24, 1 << 22  # at most 32 MB for the repeats; a fuller filter only lets more rows through
+#: Bits of a filter for each row, and the words of one filter at most (32 MB). More rows are divided by ranges of their
+#: hashes, each with a filter of its own, so that filters are as sparse at any number of rows.
+BITS_PER_ROW, MAX_WORDS = 24, 1 << 22
+
+
+def _words(rows: int) -> int:
+    return int(min(MAX_WORDS, max(PIECE, 1 << int(np.ceil(np.log2(max(64, rows) * BITS_PER_ROW / 64))))))
 
 
 def _spots(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,101 +123,127 @@ def _spots(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return ((u & np.uint64((1 << 40) - 1)) % np.uint64(words)).astype(np.int64), mask
 
 
-def _fold(once: np.ndarray, again: np.ndarray, word: np.ndarray, mask: np.ndarray) -> None:
-    """Add hashes to the two filters of a partition; equal words within the batch are taken one after another."""
-    order = np.argsort(word, kind="stable")
-    word, mask = word[order], mask[order]
-    first = np.ones(len(word), bool)
-    first[1:] = word[1:] != word[:-1]
-    rest = np.flatnonzero(~first)
-    lead = np.flatnonzero(first)
-    for take in (lead, rest):
-        if take is lead:
-            w, m = word[take], mask[take]
-            seen = (once[w] & m) == m
-            again[w[seen]] |= m[seen]
-            once[w] |= m
-        else:
-            for j in take:  # few: two hashes of one batch in one word
-                w, m = word[j], mask[j]
-                if once[w] & m == m:
-                    again[w] |= m
-                once[w] |= m
-
-
-def repeat_filter(hashes: DataFrame, column: str, rows: int, twice: bool = True) -> tuple[bytes, int]:
-    """A Bloom filter of the hashes that occur at least twice (and of few others), as bytes, and its number of words.
-
-    With twice=False: of all hashes.
-
-    Each partition builds its pair of filters and sends the pieces that it touched; pieces are merged by
-    once = a | b, again = ra | rb | (a & b), which misses no repeat. Only the repeats' filter, of at most
-    8 * MAX_WORDS bytes, reaches the driver and the executors.
+def _fold(once: np.ndarray, again: np.ndarray, h: np.ndarray) -> None:
+    """Add a batch of hashes to the two filters of a partition; a hash of which the batch holds any number of copies is one step."""
+    h, n = np.unique(h, return_counts=True)
+    word, mask = _spots(h, len(once))
+    seen = ((once[word] & mask) == mask) | (n > 1)
+    np.bitwise_or.at(again, word[seen], mask[seen])
+    np.bitwise_or.at(once, word, mask)
+
+
+def _merged(hashes: DataFrame, words: int, twice: bool) -> DataFrame:
+    """_range, piece, bits of the filters of (h, _range): of the hashes that occur at least twice (and of few others), or of all.
+
+    Each partition builds a pair of filters and sends the pieces that it touched; pieces are merged by once = a | b,
+    again = ra | rb | (a & b), which misses no repeat.
     """
-    words = int(min(MAX_WORDS, max(PIECE, 1 << int(np.ceil(np.log2(max(64, rows) * BITS_PER_ROW / 64))))))
-    schema = pa.schema([("piece", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
+    schema = pa.schema([("_range", pa.int32()), ("piece", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
+
+    def row(r: int, p: int, a: np.ndarray | None, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([p], pa.int32()), pa.array([b"" if a is None else zlib.compress(a.tobytes(), 1)]), pa.array([zlib.compress(b.tobytes(), 1)])], schema=schema)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
+        at, once, again = None, np.zeros(words, np.uint64), np.zeros(words, np.uint64)
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for p in range(0, words, PIECE):
+                if once[p : p + PIECE].any():
+                    yield row(at, p // PIECE, once[p : p + PIECE], (again if twice else once)[p : p + PIECE])
+
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(h):
-                _fold(once, again, *_spots(h, words))
-        for p in range(0, words, PIECE):
-            a, b = once[p : p + PIECE], (again if twice else once)[p : p + PIECE]
-            if a.any():
-                yield pa.RecordBatch.from_arrays([pa.array([p // PIECE], pa.int32()), pa.array([zlib.compress(a.tobytes(), 1)]), pa.array([zlib.compress(b.tobytes(), 1)])], schema=schema)
+            h, of = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for r in np.unique(of):  # files hold one range each, so ranges come one after another
+                if r != at:
+                    if at is not None:
+                        yield from send()
+                        once[:], again[:] = 0, 0
+                    at = int(r)
+                _fold(once, again, h[of == r].astype(np.int64))
+        if at is not None:
+            yield from send()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for p, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r, p, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = np.frombuffer(zlib.decompress(a), np.uint64), np.frombuffer(zlib.decompress(b), np.uint64)
-                if p in held:
-                    o, r = held[p]
-                    held[p] = (o | a, r | b | (o & a))
+                if (r, p) in held:
+                    o, g = held[r, p]
+                    held[r, p] = (o | a, g | b | (o & a))
                 else:
-                    held[p] = (a, b)
-        for p, (_, r) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b""]), pa.array([zlib.compress(r.tobytes(), 1)])], schema=schema)
+                    held[r, p] = (a, b)
+        for (r, p), (_, g) in held.items():
+            yield row(r, p, None, g)
 
-    ddl = "piece int, once binary, again binary"
-    pieces = hashes.select(column).mapInArrow(build, ddl).repartition("piece").mapInArrow(merge, ddl).select("piece", "again")
-    full = np.zeros(words, np.uint64)
-    for row in pieces.toLocalIterator():
-        full[row.piece * PIECE : row.piece * PIECE + PIECE] = np.frombuffer(zlib.decompress(row.again), np.uint64)
-    return full.tobytes(), words
+    ddl = "_range int, piece int, once binary, again binary"
+    pieces = hashes.select("h", "_range").mapInArrow(build, ddl).repartition("_range", "piece")
+    return pieces.mapInArrow(merge, ddl).select("_range", "piece", F.col("again").alias("bits"))
 
 
-def may_hold(spark: SparkSession, bits: bytes, words: int):  # noqa: ANN201
-    """A function of a bigint column: whether a filter of repeat_filter may hold the value."""
-    shared = spark.sparkContext.broadcast(bits)
+def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    w, m = _spots(h, len(bits))
+    return (bits[w] & m) == m
 
-    @F.pandas_udf("boolean")
-    def held(h):  # noqa: ANN001, ANN202
-        import pandas as pd
 
-        w, m = _spots(h.to_numpy(np.int64), words)
-        return pd.Series((np.frombuffer(shared.value, np.uint64)[w] & m) == m)
+def split_repeats(hashes: DataFrame, column: str = "h", max_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that may repeat, rows that certainly do not), told apart without a shuffle of rows. hashes: a written table.
 
-    return held
+    Rows are divided by ranges of their hashes as they are written, one for every MAX_WORDS words of filter that they
+    need; a task reads the filter of the range it is at from the shared folder, so no task and no broadcast grows with
+    the number of rows.
+    """
+    n, most = hashes.count(), max_words or MAX_WORDS
+    ranges = max(1, -(-n * BITS_PER_ROW // (64 * most)))
+    words = min(_words(-(-n // ranges)), most)
+    rows = hashes.withColumn("_range", F.pmod(F.shiftrightunsigned(column, 20), F.lit(ranges)).cast("int") if ranges > 1 else F.lit(0))
+    if ranges > 1:
+        rows = written(rows, "ranged", by="_range")
+    filters = written(_merged(rows.select(F.col(column).alias("h"), "_range"), words, True), "filters", by="_range")
+    path, names = filters._moorline_path, [*hashes.columns, "may_repeat"]
+    at = hashes.columns.index(column)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        now, bits = None, np.zeros(words, np.uint64)
+        for batch in batches:
+            h, of = batch.column(at).to_numpy().astype(np.int64), batch.column(batch.num_columns - 1).to_numpy()
+            may = np.zeros(len(h), bool)
+            for r in np.unique(of):
+                if r != now:
+                    now, bits[:] = r, 0
+                    pieces = ds.dataset(f"{root}/_range={r}", filesystem=system, format="parquet").to_table(columns=["piece", "bits"])
+                    for p, b in zip(pieces["piece"].to_pylist(), pieces["bits"].to_pylist(), strict=True):
+                        bits[p * PIECE : p * PIECE + PIECE] = np.frombuffer(zlib.decompress(b), np.uint64)
+                may[of == r] = _held(bits, h[of == r])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(may)], names=names)
+
+    ddl = ", ".join(f"`{c}` {t}" for c, t in [*hashes.dtypes, ("may_repeat", "boolean")])
+    marked = rows.select(*hashes.columns, "_range").mapInArrow(mark, ddl)
+    return marked.filter("may_repeat").drop("may_repeat"), marked.filter("not may_repeat").drop("may_repeat")
 
 
 def only_in(df: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
-    """The rows of df whose value may occur in values (few others remain), without a shuffle of df.
+    """The rows of df whose value may occur in values (few others remain), without a shuffle of df while the filter is within its bound; beyond it a semi-join, which leaves no others."""
+    n = values.count()
+    if n * BITS_PER_ROW > 64 * MAX_WORDS:
+        return df.join(values.select(F.col(value).alias(column)).distinct(), column, "left_semi")
+    words = _words(n)
+    full = np.zeros(words, np.uint64)
+    for row in _merged(values.select(F.xxhash64(value).alias("h"), F.lit(0).alias("_range")), words, False).toLocalIterator():
+        full[row.piece * PIECE : row.piece * PIECE + PIECE] = np.frombuffer(zlib.decompress(row.bits), np.uint64)
+    shared = df.sparkSession.sparkContext.broadcast(full.tobytes())
 
-    The filter takes mixed values, since ids are not hashes.
-    """
-    mixed = values.select(F.xxhash64(value).alias("h"))
-    held = may_hold(df.sparkSession, *repeat_filter(mixed, "h", values.count(), twice=False))
-    return df.filter(held(F.xxhash64(column)))
+    @F.pandas_udf("boolean")
+    def held(h):  # noqa: ANN001, ANN202
+        import pandas as pd
 
+        return pd.Series(_held(np.frombuffer(shared.value, np.uint64), h.to_numpy(np.int64)))
 
-def split_repeats(hashes: DataFrame, column: str = "h") -> tuple[DataFrame, DataFrame]:
-    """(rows that may repeat, rows that certainly do not), told apart by the merged filter without a shuffle of rows."""
-    spark = hashes.sparkSession
-    marked = hashes.withColumn("may_repeat", may_hold(spark, *repeat_filter(hashes, column, hashes.count()))(column))
-    return marked.filter("may_repeat").drop("may_repeat"), marked.filter("not may_repeat").drop("may_repeat")
+    return df.filter(held(F.xxhash64(column)))
 
 
 def copies(df: DataFrame, key: str = "row_id", body: str = "body", rule: str = "rule") -> tuple[DataFrame, DataFrame]:

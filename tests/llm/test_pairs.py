@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moorline.llm import forms, graph, leaks, near, overlap, records, splits
+from moorline.session import written
 
 WORDS = "amber birch cedar delta ember fjord grove harbor island jungle kettle lantern meadow nectar orchid pepper quartz river summit timber umber valley willow yonder zephyr".split()
 
@@ -73,7 +74,7 @@ def test_filter_misses_no_repeat(spark):
     r = np.random.default_rng(0)
     h = r.integers(-(2**63), 2**63 - 1, 20_000)
     h = np.concatenate([h, h[:500]])
-    df = spark.createDataFrame([(int(x),) for x in h], "h bigint").repartition(5)
+    df = written(spark.createDataFrame([(int(x),) for x in h], "h bigint").repartition(5), "t")
     may, not_ = records.split_repeats(df)
     seen = {x.h for x in may.collect()}
     assert set(h[:500].tolist()) <= seen and may.count() + not_.count() == len(h) and not_.count() > 18_000
@@ -135,6 +136,36 @@ def test_near_on_one_frame(spark, tmp_path, monkeypatch, hot):
     assert {tuple(x) for x in near.p4_found(spark, str(tmp_path)).collect()} == want
 
 
+def test_near_at_the_bound(spark):
+    """200 pairs of which exactly four fifths of the words are shared, all edits on words of their own: none is lost."""
+    frame = [f"frame{k}" for k in range(60)]
+    rows = []
+    for i in range(200):
+        own = [f"own{i}x{k}" for k in range(40)]
+        rows += [(2 * i, " ".join(frame + own)), (2 * i + 1, " ".join(frame + own[:20] + [f"new{i}x{k}" for k in range(20)]))]
+    got = {tuple(x) for x in near.near_groups(spark.createDataFrame(rows, "row_id bigint, body string")).filter("row_id > first_row_id").collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(200)}
+
+
+@pytest.mark.parametrize("hot", [None, 3])
+def test_cross_split_blocks_of_any_size(spark, hot):
+    texts = bodies(6, 90)
+    train = [(i, t, "r") for i, t in enumerate(texts[:60])]
+    test = [(1000 + i, t, "R") for i, t in enumerate(texts[60:])]
+    of = lambda rows: spark.createDataFrame(rows, "row_id bigint, body string, rule string")
+    want = {(a[0], b[0]) for a in train for b in test if brute_near(a[1], b[1])}
+    assert want and {tuple(x) for x in overlap.cross_split_pairs(of(train), of(test), hot).collect()} == want
+
+
+def test_filters_by_range(spark):
+    r = np.random.default_rng(1)
+    h = r.integers(-(2**63), 2**63 - 1, 30_000)
+    rows = written(spark.createDataFrame([(int(x), i) for i, x in enumerate(np.concatenate([h, h[:700], h[:1].repeat(9000)]))], "h bigint, i bigint").repartition(4), "t")
+    may, not_ = records.split_repeats(rows, max_words=1 << 12)  # ten ranges or so
+    seen = {x.h for x in may.select("h").distinct().collect()}
+    assert set(h[:700].tolist()) <= seen and len(seen) < 1500 and may.count() + not_.count() == 39_700
+
+
 def test_cross_split_pairs(spark, tmp_path):
     texts = bodies(5, 80)
     train = [(i, t, "Rule A" if i % 2 else "rule b") for i, t in enumerate(texts[:50])] + [(90, "tiny thing", "Rule A"), (91, None, "Rule A"), (92, texts[0], None)]
