@@ -6,8 +6,12 @@ class, and the result is decomposed again; two texts look the same if their skel
 
 from __future__ import annotations
 
+import glob
+import os
 import re
+import struct
 import unicodedata
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +20,8 @@ from pyspark.sql import functions as F
 
 from moorline.session import table
 
-# Letters of other scripts and the Latin letters they look like.
+# Letters of other scripts and the Latin letters they look like, as a reader of a text takes them; the
+# rest of the look-alikes comes from look_alikes().
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
     "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Һ": "H", "Ӏ": "I", "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
@@ -34,6 +39,33 @@ EMOJI = "←-⇿⌀-➿⤀-⥿⬀-⯿〰〽㊗㊙\U0001f000-\U0001faff"
 _drop = re.compile(f"(?<=[{EMOJI}️])[‍️](?=[{EMOJI}])|(?<=[{EMOJI}])️‍?|[{INVISIBLE}]")
 #: Anything beyond ASCII and the accented letters that are one character each; texts without it are consistent as they are.
 _special = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+
+
+def look_alikes() -> dict[str, str]:
+    """Letters beyond Latin-1 and the one Latin letter that each looks like, by the Unicode confusables table that Spark's own ICU library carries.
+
+    Of the table only letters with one ASCII letter as their prototype count, since the form is to be read by people: a
+    capital that the table takes for a small l reads as I. Compatibility forms are left to normalisation.
+    """
+    import pyspark
+
+    home = [os.path.join(os.path.dirname(pyspark.__file__), "jars"), os.path.join(os.environ.get("SPARK_HOME", ""), "jars")]
+    jar = next((j for h in home for j in glob.glob(os.path.join(h, "icu4j-*.jar"))), None)
+    if jar is None:
+        raise RuntimeError("Spark's icu4j jar is needed for the table of look-alike letters")
+    with zipfile.ZipFile(jar) as z:
+        data = z.read("com/ibm/icu/impl/data/icudata/confusables.cfu")
+    data = data[struct.unpack(">H", data[:2])[0] :]  # after the file's own header
+    keys, n, values = struct.unpack(">iii", data[12:24])
+    out = {}
+    for key, value in zip(struct.unpack(f">{n}I", data[keys : keys + 4 * n]), struct.unpack(f">{n}H", data[values : values + 2 * n]), strict=True):
+        char, like = chr(key & 0xFFFFFF), chr(value)
+        if key >> 24 == 0 and char > "ÿ" and like.isascii() and like.isalpha() and unicodedata.category(char) in ("Lu", "Ll", "Lo", "Lt") and unicodedata.bidirectional(char) == "L" and unicodedata.normalize("NFKD", char) == char:
+            out[char] = "I" if like == "l" and unicodedata.category(char) == "Lu" else like
+    return out
+
+
+LOOK_ALIKES = look_alikes() | LOOK_ALIKES
 _prototype = {ord(k): v for k, v in {**LOOK_ALIKES, **SIGNS}.items()}
 
 
@@ -52,7 +84,7 @@ def consistent(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFKD", text))
 
 
-_other = "Ͱ-ϿЀ-ԯԱ-֏Ꭰ-᏿"
+_other = "Ͱ-ϿЀ-ԯԱ-֏Ꭰ-᏿ꭰ-ꮿꓐ-꓿Ⲁ-⳿ⴰ-⵿ᐁ-ᙿ\U00010280-\U000103ff\U00010400-\U0001052f\U000118a0-\U000118ff\U00016f00-\U00016f9f"
 _latin = "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ"
 _alike = re.escape("".join(k for k in LOOK_ALIKES if not "A" <= k <= "ɏ"))
 _found = re.compile(

@@ -1,8 +1,9 @@
 """Problem 8: texts into containers of fixed capacity.
 
-Method: hierarchical multi-length packing. Texts are routed to tiers of context sizes; each container opens with a text
-of the longest tier that is left, its gap is filled from that tier and then from shorter ones, always with the longest
-text that fits, and containers are dealt to step groups so that groups carry about equal loads.
+Method: hierarchical multi-length packing. Texts are routed to tiers of context sizes. From the longest tier to the
+shortest, a tier's texts are packed among themselves, then the gaps of its containers are filled from the shorter
+tiers, always with the longest text that fits; what is left of a tier goes on to be packed as its own. Containers are
+dealt to step groups of their tier so that groups carry about equal loads.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ TIERS = (256, 512, 1024, 2048)
 PART = 4_000_000
 #: Containers in a step group.
 GROUP = 8
+#: The vocabulary file, the same on every executor; a parameter of token_counts and packed, and of the queries by $MOORLINE_TOKENIZER.
 TOKENIZER = os.environ.get("MOORLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # The split pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,31 +56,51 @@ def token_counts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> D
     return df.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"{key} bigint, tokens bigint")
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """(container, position) of each item of at most `capacity`; items of size 0 join the last container."""
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(container, position, tier of the container) of each item of at most `capacity`; items of size 0 join the last container.
+
+    A tier holds the items above the next shorter tier's size, up to its own; the last one reaches to the capacity.
+    """
+    bounds = sorted({t for t in tiers if t < capacity} | {capacity})
     waiting: dict[int, list[int]] = {}
-    for i in np.argsort(-np.arange(len(sizes))):  # a list's end is its first item
-        waiting.setdefault(int(sizes[i]), []).append(int(i))
+    for i in range(len(sizes) - 1, -1, -1):  # a list's end is its first item
+        waiting.setdefault(int(sizes[i]), []).append(i)
     zero = waiting.pop(0, [])
     left = sum(1 << s for s in waiting)
-    container, position = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    at = 0
-    while left:
-        gap, place = capacity, 0
-        while fits := left & ((1 << (gap + 1)) - 1):
-            s = fits.bit_length() - 1  # the longest waiting text that fits: of the longest tier that has one
-            i = waiting[s].pop()
-            if not waiting[s]:
-                left ^= 1 << s
-            container[i], position[i] = at, place
-            gap, place = gap - s, place + 1
-        at += 1
-    last = max(at - 1, 0)
-    place = int((container[sizes > 0] == last).sum()) if at else 0
+    container, position, home = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    gaps: list[int] = []
+    count: list[int] = []
+    of: list[int] = []
+
+    def place(fits: int, at: int) -> None:
+        nonlocal left
+        s = fits.bit_length() - 1  # the longest that fits
+        i = waiting[s].pop()
+        if not waiting[s]:
+            left ^= 1 << s
+        container[i], position[i], home[i] = at, count[at], of[at]
+        gaps[at] -= s
+        count[at] += 1
+
+    for above, tier in reversed(list(zip([0, *bounds], bounds, strict=False))):
+        own = ((1 << (tier + 1)) - 1) ^ ((1 << (above + 1)) - 1)
+        first = len(gaps)
+        while left & own:  # the tier by itself
+            gaps.append(capacity)
+            count.append(0)
+            of.append(tier)
+            while fits := left & own & ((1 << (gaps[-1] + 1)) - 1):
+                place(fits, len(gaps) - 1)
+        shorter = (1 << (above + 1)) - 1
+        for at in sorted(range(first, len(gaps)), key=lambda k: -gaps[k]):  # then its gaps
+            while fits := left & shorter & ((1 << (gaps[at] + 1)) - 1):
+                place(fits, at)
+    if zero and not gaps:
+        gaps, count, of = [capacity], [0], [bounds[0]]
     for i in reversed(zero):
-        container[i], position[i] = last, place
-        place += 1
-    return container, position
+        container[i], position[i], home[i] = len(gaps) - 1, count[-1], of[-1]
+        count[-1] += 1
+    return container, position, home
 
 
 def step_groups(loads: np.ndarray, group: int = GROUP) -> np.ndarray:
@@ -92,7 +114,7 @@ def step_groups(loads: np.ndarray, group: int = GROUP) -> np.ndarray:
 
 
 def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """key, piece, first_token, tokens, tier, container, position, step_group of every text, or of every piece of a text above the capacity.
+    """key, piece, first_token, tokens, tier, container, position, container_tier, step_group of every text, or of every piece of a text above the capacity.
 
     Each text is in one container, or in pieces of which all but the last fill a container. Null and empty texts have 0
     tokens and a place nonetheless. Texts are dealt to parts of about PART tokens by a hash of their key; parts are packed
@@ -104,22 +126,28 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = T
     pieces = sized.select(key, "tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("tokens") - 1) / capacity).cast("int")))).alias("piece"))
     pieces = pieces.select(key, "piece", (F.col("piece") * F.lit(capacity)).cast("bigint").alias("first_token"), F.least(F.col("tokens") - F.col("piece") * capacity, F.lit(capacity)).cast("bigint").alias("tokens"))
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))
-    ddl = f"{key} bigint, piece int, first_token bigint, tokens bigint, tier int, container bigint, position bigint, step_group bigint"
+    ddl = f"{key} bigint, piece int, first_token bigint, tokens bigint, tier int, container bigint, position bigint, container_tier int, step_group bigint"
     tiers = np.array([t for t in TIERS if t < capacity] + [capacity])
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([key, "piece"], kind="stable").reset_index(drop=True)
         sizes = group.tokens.to_numpy()
-        c, p = pack(sizes, capacity)
-        steps = step_groups(np.bincount(c, sizes, c.max() + 1))
+        c, p, home = pack(sizes, capacity)
+        loads, of = np.bincount(c, sizes, c.max() + 1), np.zeros(c.max() + 1, np.int64)
+        of[c] = home
+        steps, groups = np.zeros(len(loads), np.int64), 0
+        for t in np.unique(of):
+            g = step_groups(loads[of == t])
+            steps[of == t] = g + groups
+            groups += g.max() + 1
         base = int(group.part.iloc[0]) << 32
-        return group.assign(tier=tiers[np.searchsorted(tiers, sizes)], container=base + c, position=p, step_group=base + steps[c]).drop(columns="part")
+        return group.assign(tier=tiers[np.searchsorted(tiers, sizes)], container=base + c, position=p, container_tier=home.astype(np.int32), step_group=base + steps[c]).drop(columns="part")
 
     return pieces.groupBy("part").applyInPandas(fill, ddl)
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, piece, first_token, tokens, tier, container, position, step_group."""
+    """doc_id, piece, first_token, tokens, tier, container, position, container_tier, step_group."""
     return packed(table(spark, sf_dir, "documents"))
 
 

@@ -36,7 +36,8 @@ def groups(pairs):
 def test_consistent_forms():
     assert forms.consistent("Тhe ｃafé  is​ he­re") == "The café  is here"
     assert forms.consistent("👩‍💻 ok") == "👩‍💻 ok" and forms.consistent(None) is None and forms.consistent("") == ""
-    yes = ["ｆull", "café", "a​b", "so­ft", "a b", "wоrd", "Тһе dog"]
+    assert forms.consistent("ᎪᏴᎢ ꓐаnk") == "ABT Bank" and len(forms.LOOK_ALIKES) > 250
+    yes = ["pᎪypal", "ꓐаnk", "ｆull", "café", "a​b", "so­ft", "a b", "wоrd", "Тһе dog"]
     no = ["café “quoted” — dash", "привет, друзья", "ラーメン", "👨‍👩‍👧 ❤️", "a\tb\nc", "ευχαριστώ πολύ", None, "", "plain"]
     assert [forms.needs_form(x) for x in yes] == [True] * len(yes) and [forms.needs_form(x) for x in no] == [False] * len(no)
 
@@ -181,7 +182,8 @@ def test_cross_split_pairs(spark, tmp_path):
 def test_names():
     assert splits.names_in("see u/Some_One and /u/x1, [u/y_2], @Zed. mail a.b@site.example") == {"u:some_one", "u:x1", "u:y_2", "u:zed"}
     assert splits.names_in("hxxps://m.shop-a.test/p?q=1, www.shop-b.invalid; SHOP-C[.]example, shop-d dot test, write to me at box dot example") == {"w:shop-a.test", "w:shop-b.invalid", "w:shop-c.example", "w:shop-d.test"}
-    assert splits.names_in("Meet @ noon. It ended.Then nothing") == set()
+    assert splits.names_in("Meet @ noon. It ended.Then nothing. We left.So did it.It was late. See file.txt, v1.2.3 and 3.5") == set()
+    assert splits.names_in("see foo.com.br now, foo.nz, foo.me. And hxxp://a[.]b[.]museum/x, shop．example") == {"w:com.br", "w:foo.nz", "w:foo.me", "w:b.museum", "w:shop.example"}
 
 
 def test_related_and_splits(spark, tmp_path):
@@ -209,6 +211,38 @@ def test_differencing_is_even():
     assert sums.max() - sums.min() <= 2 and len(splits.largest_differencing(np.zeros(0), 4)) == 0
 
 
+def test_divisions_of_parts_combine(monkeypatch, spark, tmp_path):
+    """Partial divisions of many parts, combined level by level, are as even as one; groups stay whole."""
+    monkeypatch.setattr(splits, "PART", 40)
+    monkeypatch.setattr(splits, "FAN", 3)
+    r = random.Random(9)
+    rows = [(i, f"row {i} by u/user{r.randrange(700)}", "Rule") for i in range(1500)]
+    write(spark, tmp_path, "train", rows, "row_id bigint, body string, rule string")
+    got = {x.row_id: x.split for x in splits.p6_splits(spark, str(tmp_path)).collect()}
+    user = {}
+    assert all(user.setdefault(b.split("/")[1], got[i]) == got[i] for i, b, _ in rows) and len(got) == 1500
+    share = collections.Counter(got.values())
+    assert abs(share["train"] - 1200) < 15 and abs(share["valid"] - 150) < 15 and abs(share["test"] - 150) < 15
+    sums = np.random.default_rng(2).integers(0, 50, (30, 8)).astype(float)
+    whole = splits.combined(sums)
+    total = np.bincount(whole.ravel(), sums.ravel(), 8)
+    assert all(sorted(x) == list(range(8)) for x in whole.tolist()) and total.max() - total.min() <= 10
+
+
+def test_leaks_are_weighed(spark):
+    """An item in full is wholly alike, a passage less, a frame of fewer than RUN words is none; shingles of many items weigh less."""
+    r = random.Random(12)
+    frame = "in this question you are asked to read the text and to choose".split()
+    items = [(k, " ".join(frame + r.choices([w + x for w in WORDS for x in ("", "s", "ed", "er")], k=60))) for k in range(4)]
+    passage = " ".join(items[1][1].split()[20:45])
+    docs = [(1, "before it " + items[0][1] + " and after"), (2, "some of it: " + passage + " and no more"), (3, " ".join(frame + r.choices(WORDS, k=100)))]
+    of = lambda rows, a: spark.createDataFrame(rows, f"{a} bigint, text string")
+    got = {(g.doc_id, g.item_id): (g.words, g.alike) for g in leaks.leaks(of(docs, "doc_id"), of(items, "item_id")).collect()}
+    assert set(got) == {(1, 0), (2, 1)} and got[1, 0] == (73, 1.0) and got[2, 1][0] == 25 and got[2, 1][1] < 0.8
+    x = leaks.Index([(k, np.arange(30, dtype=np.uint64) + np.uint64(100 * (k // 2))) for k in range(4)])
+    assert x.alike(0, x.items[0]) == 1.0 and x.weights(leaks.shingles(x.items[0])).max() == 0.5
+
+
 def test_leaks(spark, tmp_path):
     r = random.Random(6)
     items = [(k, " ".join(r.choices(WORDS, k=40))) for k in range(8)] + [(90, None), (91, "too short")]
