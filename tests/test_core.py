@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from moorline.functions import numeric, text
 from moorline.operators import audit, challenge, contracts, events, lexical, metrics, model, prompts, scan, splits, support, tfidf
 from moorline.sources import tables
+from moorline.sources.store import Store
 
 ROWS = "row_id bigint, body string, rule string, subreddit string, positive_example_1 string, positive_example_2 string, negative_example_1 string, negative_example_2 string, rule_violation int"
 
@@ -263,13 +264,14 @@ def test_events(spark):
 
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi",\nplease', 0.5), (2, "null", 0.25)], "row_id bigint, body string, p double")
-    tables.write_csv(df, str(tmp_path / "x.csv"), ["row_id"])
+    Store(spark, str(tmp_path)).put_csv(df, ["row_id"], "x.csv")
     from pyspark.sql import types as T
 
     back = tables.read_csv(spark, str(tmp_path / "x.csv"), T.StructType([T.StructField("row_id", T.LongType()), T.StructField("body", T.StringType()), T.StructField("p", T.DoubleType())]))
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
     with pytest.raises(ValueError):
-        tables.write_json(str(tmp_path / "n.json"), {"a": float("nan")})
+        Store(spark, str(tmp_path)).put_json({"a": float("nan")}, "n.json")
+    assert not (tmp_path / "n.json").exists()
 
 
 def test_synthetic_input_and_inventory(spark, tmp_path):
@@ -288,20 +290,49 @@ def test_synthetic_input_and_inventory(spark, tmp_path):
 def test_stages(spark, tmp_path):
     from moorline import runtime
 
-    calls = []
-    act = lambda d: (calls.append(1), (d / "a.txt").write_text("x"))
-    folder = runtime.stage(tmp_path, "s", act)
-    runtime.stage(tmp_path, "s", act)
-    assert len(calls) == 1 and runtime.verified(tmp_path, "s")["files"]
-    (folder / "a.txt").write_text("changed")
+    log, calls = runtime.Log(Store(spark, str(tmp_path / "run"))), []
+    act = lambda d: (calls.append(d), Store(spark, d).put("x", "a.txt"), spark.range(3).write.parquet(f"{d}/rows"))
+    at = runtime.stage(log, "s", act)
+    assert runtime.stage(log, "s", act) == at and len(calls) == 1 and runtime.checked(log.store, "s")[0] == at
+    Store(spark, at).put("changed", "a.txt")
+    with pytest.raises(ValueError, match="changed a.txt"):
+        runtime.checked(log.store, "s")
+    assert runtime.stage(log, "s", act) != at and len(calls) == 2 and runtime.checked(log.store, "s")
     with pytest.raises(ValueError):
-        runtime.verified(tmp_path, "s")
-    runtime.stage(tmp_path, "s", act)
-    assert len(calls) == 2
+        runtime.stage(log, "empty", lambda d: None)
+    with pytest.raises(ZeroDivisionError):
+        runtime.stage(log, "broken", lambda d: (Store(spark, d).put("x", "half.txt"), 1 / 0))
+    assert runtime.committed(log.store, "broken") is None and runtime.stage(log, "broken", act)
+    with runtime.watched(log, "slow", every=0.1):
+        import time
+
+        time.sleep(0.5)
+    by = {(r.stage, r.event): r.n for r in log.table().groupBy("stage", "event").agg(F.count("*").alias("n")).collect()}
+    assert by["s", "reused"] == 1 and by["s", "recomputing"] == 1 and by["empty", "failed"] == 1 and by["broken", "failed"] == 1 and by["slow", "heartbeat"] >= 2 and by["slow", "completed"] == 1
+    store = log.store
+    name = store.names("manifests", "s")[0]
+    told = store.json("manifests", "s", name)
+    told["files"][0]["path"] = "../../secret"
+    store.put_json(told | {"finished_at": "9999"}, "manifests", "s", name)
+    with pytest.raises(ValueError, match="unsafe"):
+        runtime.checked(store, "s")
+    with runtime.held(store, "x"), pytest.raises(TimeoutError):
+        runtime.held(store, "x", 0.2).__enter__()
     with pytest.raises(ValueError):
-        runtime.stage(tmp_path, "empty", lambda d: None)
-    log = tables.read_events(spark, str(tmp_path / "events.jsonl"))
-    assert log.filter("event = 'failed'").count() == 1
+        store.path("../up")
+
+
+def test_identity_changes_with_inputs(spark, tmp_path):
+    from moorline import runtime
+
+    store = Store(spark, str(tmp_path))
+    store.put("1", "a.csv")
+    store.put("2", "b.csv")
+    first = runtime.identity(spark, str(tmp_path), {"seed": 1})[0]
+    assert len(first) == 20 and runtime.identity(spark, str(tmp_path), {"seed": 1})[0] == first != runtime.identity(spark, str(tmp_path), {"seed": 2})[0]
+    store.put("2", "a.csv")
+    store.put("1", "b.csv")
+    assert runtime.identity(spark, str(tmp_path), {"seed": 1})[0] != first
 
 
 def test_cached_scores(spark, tmp_path):
@@ -314,8 +345,46 @@ def test_cached_scores(spark, tmp_path):
         return df.select("text_hash", F.length("text").cast("double").alias("score"))
 
     one_ = spark.createDataFrame([("a",), ("bb",), ("a",)], "text string")
-    assert cached_scores(one_, str(tmp_path / "c"), score).count() == 2
-    assert cached_scores(one_.union(spark.createDataFrame([("ccc",)], "text string")), str(tmp_path / "c"), score).count() == 3 and seen == [2, 1]
+    cache = str(tmp_path / "c")
+    assert cached_scores(one_, cache, score).count() == 2
+    assert cached_scores(one_.union(spark.createDataFrame([("ccc",)], "text string")), cache, score).count() == 3 and seen == [2, 1]
+    with pytest.raises(ValueError, match="contract"):
+        cached_scores(one_, cache, score, "another model")
+    with pytest.raises(ValueError, match="finite"):
+        cached_scores(one_, str(tmp_path / "d"), lambda df: df.select("text_hash", F.lit(float("nan")).alias("score")))
+    part = next((tmp_path / "c" / "stages" / "scores").glob("*/rows/part-*"))
+    part.write_bytes(part.read_bytes()[:-1] + b"x")
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError, match="changed"):
+        cached_scores(one_, cache, score)
+
+
+def test_program_resumes_and_is_reviewed(spark, tmp_path, monkeypatch):
+    """The whole evaluation once, a second run that fits nothing, and reviews that train nothing and notice changes."""
+    from moorline.plans import baseline
+
+    root = str(tmp_path)
+    monkeypatch.setattr(baseline, "PROTOCOLS", ("heldout_rule",))
+    tables.synthetic(spark, root + "/data")
+    run = baseline.run_baseline(spark, root, root + "/data", folds=2)
+    monkeypatch.setattr(baseline.model, "fit", lambda *a, **k: pytest.fail("fitted again"))
+    monkeypatch.setattr(baseline.model, "out_of_fold", lambda *a, **k: pytest.fail("fitted again"))
+    assert baseline.run_baseline(spark, root, root + "/data", folds=2) == run
+    with pytest.raises(FileNotFoundError):
+        baseline.review_run(spark, root)
+    found = baseline.review_run(spark, root, allow_synthetic=True)
+    assert len(found["results"]) == 2 and run.endswith(found["run_id"])
+    with pytest.raises(ValueError):
+        baseline.select_run(spark, root, "../x")
+    page = next((tmp_path / "runs" / found["run_id"] / "stages" / "review").glob("*/report.html")).read_text()
+    assert "<svg" in page and "Synthetic" in page
+    result = next((tmp_path / "runs" / found["run_id"] / "stages" / "review").glob("*/results.json"))
+    for crc in result.parent.glob(".*.crc"):
+        crc.unlink()
+    result.write_text(result.read_text().replace("0.", "0.1", 1))
+    with pytest.raises(ValueError, match="changed"):
+        baseline.review_run(spark, root, found["run_id"], True)
 
 
 def test_stream_windows(spark, tmp_path):
