@@ -165,3 +165,18 @@ def test_areas(spark, tmp_path):
     write(spark, tmp_path, "subjects", [("law", "Courts and the work of a lawyer."), ("cooking", "Food and a recipe.")], "subject string, description string")
     found = {tuple(x) for x in areas.p10_found(spark, str(tmp_path)).collect()}
     assert len(found & want) / len(want) > 0.95 and len(found & want) / len(found) > 0.95
+
+
+def test_any_number_of_subjects(spark):
+    names = [f"s{k:04}" for k in range(1500)]
+    docs = spark.createDataFrame([(k, f"The w{k}a and w{k}b met. A w{k}b saw w{k}a here.") for k in range(1500)] + [(5000 + k, f"Later w{k}a came with w{k}b again.") for k in range(1500)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, names[k]) for k in range(1500)], "doc_id bigint, subject string")
+    found = {(r.doc_id, r.subject) for r in areas.subject_shares(docs, labels, spark.createDataFrame([(n, "") for n in names], "subject string, description string")).filter("share >= 0.2").collect()}
+    assert sum((5000 + k, names[k]) in found for k in range(1500)) > 1400 and len(found) < 3100
+
+
+def test_graph_labels_are_clamped(spark):
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.5), (3, 4, 0.5)], "a bigint, b bigint, w double")
+    seeds = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5), (4, 2, 1.0)], "node bigint, label int, p double")
+    got = {(r.node, r.label): r.p for r in areas.propagated(edges, seeds).collect()}
+    assert got[1, 0] == got[1, 1] == 0.5 and got[4, 2] == 1.0 and got[2, 0] == got[2, 1] > 0.1 and got[3, 2] > got[3, 0] > 0
