@@ -137,8 +137,8 @@ class Tagger:
             losses.append(sum_ / len(ids))
         return losses
 
-    def decode(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of each text of character ids.
+    def decode(self, texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Best tags of each text of character ids, and how sure the averaged scores are of each.
 
         Texts are read in windows of LENGTH that overlap by LENGTH - STRIDE; where windows overlap their scores are
         averaged, weighing a character by its distance from the window's end, and one best path is taken over the whole text.
@@ -159,7 +159,7 @@ class Tagger:
                 n = min(LENGTH, len(texts[k]) - s)
                 sums[k][s : s + n] += e[:n, b] * weight[:n, None]
                 norm[k][s : s + n] += weight[:n]
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(texts)
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0))] * len(texts)
         order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
         for lo in range(0, len(order), 256):
             part = [k for k in order[lo : lo + 256] if len(texts[k])]
@@ -183,5 +183,6 @@ class Tagger:
                 for t in range(lens[b] - 1, -1, -1):
                     path[t] = tag
                     tag = int(back[t, b, tag])
-                out[k] = path
+                odds = np.exp(e[: lens[b], b] - e[: lens[b], b].max(1, keepdims=True))
+                out[k] = path, odds[np.arange(lens[b]), path] / odds.sum(1)
         return out

@@ -72,7 +72,8 @@ def test_tagger_learns_and_reconciles():
     assert losses[-1] < losses[0] / 4
     long = "".join(r.choice("abc") for _ in range(200))
     got = t.decode([personal.char_ids(long), np.zeros(0, int)])
-    assert np.mean(got[0] == np.array([c == "b" for c in long])) > 0.97 and len(got[1]) == 0
+    (tags, sure), (none, _) = got
+    assert np.mean(tags == np.array([c == "b" for c in long])) > 0.97 and len(none) == 0 and len(sure) == 200 and 0.5 < sure.mean() <= 1
 
 
 @pytest.fixture(scope="module")
@@ -85,7 +86,12 @@ def small_model():
 def test_places_and_plain_text():
     common = {"call", "me", "on", "or", "write", "to", "the", "dog", "signed"}
     hit = lambda t: bool(personal.possible_places(t, common))
-    assert all(map(hit, ["call me on 555-010-9999", "write to a@b.test", "a at b dot test", "five five five, zero one", "to 12 Elm Road", "Elmstraße 4", "Signed, Rosa Ulbika", "signed, Rosa R."]))
+    assert all(map(hit, ["call me on 555-010-9999", "write to a@b.test", "a at b dot test", "five five five, zero one", "to 12 Elm Road", "Elmstraße 4", "Signed, Rosa Ulbika", "signed, Rosa R.", "call Me Dog"]))
+    text, common_name = "I met John Smith today", {"i", "met", "john", "smith", "today"}
+    assert personal.possible_places(text, common_name)
+    tags = np.array([0] * 6 + [9] + [10] * 9 + [0] * 6)
+    of = lambda p: personal.spans(text, tags, np.full(len(text), p), common_name)
+    assert of(0.99) == [(6, 16, "name")] and of(0.8) == [] and personal.spans(text, tags, np.full(len(text), 0.8), {"met"}) == [(6, 16, "name")]
     assert not any(map(hit, ["the dog", "", "Call me on 12 or 14", "the Pigohe dog"]))
     p, at = personal.plain("ca​fé Тom")
     assert p == "cafe Tom" and at == [0, 1, 3, 4, 5, 6, 7, 8]
