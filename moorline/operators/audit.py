@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorline.functions.text import normalize
@@ -33,5 +33,6 @@ def by_rule(train: DataFrame) -> DataFrame:
 
 def duplicate_flags(train: DataFrame) -> DataFrame:
     """row_id, duplicate: false for the first row of a normalised body (by row_id), true for the others; null bodies are one body."""
-    first = Window.partitionBy("key").orderBy("row_id")
-    return train.select("row_id", F.sha2(normalize("body"), 256).alias("key")).withColumn("duplicate", F.row_number().over(first) > 1).drop("key")
+    rows = train.select("row_id", F.coalesce(F.sha2(normalize("body"), 256), F.lit("")).alias("key"))
+    firsts = rows.groupBy("key").agg(F.min("row_id").alias("first"))
+    return rows.join(firsts, "key").select("row_id", (F.col("row_id") > F.col("first")).alias("duplicate"))

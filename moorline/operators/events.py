@@ -37,3 +37,9 @@ def latest_run(log: DataFrame) -> DataFrame:
     """stage, run_id, ended_at: the run whose end of the stage is the latest (ties: the larger run_id); failed stages don't count."""
     done = stage_elapsed(log).filter("not failed")
     return done.groupBy("stage").agg(F.max_by("run_id", F.struct("ended_at", "run_id")).alias("run_id"), F.max("ended_at").alias("ended_at"))
+
+
+def keep_last(log: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The last k rows (by logged_at, then log_id) of each group, each log_id once; null times come first. Only k rows of a group leave a partition."""
+    order = Window.partitionBy(*by).orderBy(F.desc_nulls_last("logged_at"), F.desc("log_id"))
+    return latest(log).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k).drop("_place")

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 PATTERNS = {
     "secret": r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{12,}",
     "key_block": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "private_path": r"(/home/[a-z]+/|/Users/[A-Za-z]+/|[A-Z]:\\\\Users\\\\)",
+    "cloud_key": r"\b(AKIA|ASIA)[A-Z0-9]{16}",
+    "forge_token": r"\b(gh[pousr]_|github_pat_)[A-Za-z0-9_]{30,}",
+    "storage_url": r"(?i)\bs3://\S+",
+    "resource_name": r"(?i)\barn:aws(-[a-z]+)?:",
+    "css_url": r"(?i)\burl\(\s*['\"]?[^\s)'\"]+",
+    "import": r"\b(import|export)\s+[^;\n'\"]*['\"][^'\"\n]+['\"]|\b(import|importScripts)\s*\(",
+    "private_path": r"(?i)(/(home|workspace|mnt)/|/Users/[A-Za-z]+/|[A-Z]:\\\\Users\\\\)",
     "network_call": r"(?i)\b(fetch|XMLHttpRequest|WebSocket|EventSource|sendBeacon)\s*\(",
     "remote_asset": r"(?i)(src|href)\s*=\s*['\"]?(https?:)?//",
     "mail": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+",

@@ -152,6 +152,20 @@ def oracle_sql() -> dict[str, str]:
     q["support_pairs"] = _marked + " SELECT body, rule, rule_violation, source, normalized_body, normalized_rule FROM m WHERE status = 'retained'"
     q["support_audit"] = _marked + " SELECT count(*) AS candidate_occurrences, count(*) FILTER (status = 'forbidden') AS forbidden_text_occurrences, (SELECT count(*) FROM (SELECT DISTINCT normalized_rule, normalized_body FROM m WHERE status = 'conflict')) AS conflicting_pairs, count(*) FILTER (status = 'conflict') AS conflicting_occurrences, count(*) FILTER (status = 'duplicate') AS duplicate_occurrences, count(*) FILTER (status = 'retained') AS retained_pairs, " + ", ".join(f"count(*) FILTER (status = 'retained' AND source = '{x}') AS {x}" for x in ("available_support", "train_body", "train_support")) + " FROM m"
     q["adaptation_repeats"] = _pairs + " SELECT normalized_rule, CAST(repeat AS BIGINT) AS repeat, count(*) AS pairs, CAST(sum(repeat) AS BIGINT) AS occurrences FROM p GROUP BY ALL"
+    cells = lambda t, columns: " + ".join(f"(SELECT count(*) FROM {t} WHERE rule IS NOT NULL AND {c} IS NOT NULL)" for c in columns)
+    q["support_invariants"] = _marked + f", n AS (SELECT (SELECT count(*) FROM m) AS candidates, {cells('train', ['body', *_ex])} + {cells('test', _ex)} AS cells, (SELECT count(*) FROM m WHERE status IN ('forbidden', 'conflict', 'duplicate', 'retained')) AS parts) SELECT candidates, CAST(cells AS BIGINT) AS cells, parts, candidates = cells AND candidates = parts AS holds FROM n"
+    q["epoch_order"] = "SELECT row_id, row_number() OVER (ORDER BY md5('2025:1:' || CAST(row_id AS VARCHAR)), row_id) - 1 AS place FROM train"
+    q["kept_last"] = _log + " SELECT run_id, stage, log_id FROM l QUALIFY row_number() OVER (PARTITION BY run_id, stage ORDER BY logged_at DESC NULLS LAST, log_id DESC NULLS LAST) <= 2"
+    q["streamed_windows"] = _log + " SELECT date_trunc('hour', logged_at) AS window_start, event_name, count(*) AS events FROM l WHERE logged_at IS NOT NULL GROUP BY ALL"
+    units = "flatten(list_transform(regexp_extract_all(body, '(?s).'), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END))"
+    q["fingerprint_fnv1a"] = f"SELECT row_id, CASE WHEN body IS NULL THEN NULL ELSE lpad(lower(to_hex(list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform({units}, lambda u: CAST(u AS BIGINT))), lambda h, u: (xor(h, u) * 16777619) & 4294967295))), 8, '0') END AS fingerprint FROM train"
+    kept = "WITH " + _statuses(_cands.replace("FROM test", "FROM train"), "SELECT NULL AS k WHERE false")
+    own = " UNION ALL ".join(f"SELECT {c} AS body, rule, {int(c.startswith('positive'))} AS rule_violation, 'x' AS source FROM train" for _ in range(2) for c in _ex)
+    q["study_audit"] = kept.replace("WITH c AS", "WITH RECURSIVE c AS") + f""", kp AS (SELECT normalized_rule AS r, normalized_body AS b FROM m WHERE status = 'retained'), fo AS (SELECT DISTINCT {N('rule')} AS fold_rule FROM train WHERE rule IS NOT NULL),
+        ow AS (SELECT r AS fold_rule, count(*) AS own FROM (SELECT {N('rule')} AS r, {N('body')} AS b FROM ({own}) WHERE body IS NOT NULL AND rule IS NOT NULL GROUP BY r, b HAVING min(rule_violation) = max(rule_violation)) GROUP BY r),
+        tx AS (SELECT DISTINCT {N('rule')} AS fold_rule, {N('body')} AS b FROM (SELECT train.* FROM train JOIN ({_novel}) USING (row_id)) WHERE rule IS NOT NULL),
+        pr AS (SELECT fold_rule, count(*) AS pairs FROM fo JOIN kp ON kp.r <> fo.fold_rule WHERE NOT EXISTS (SELECT 1 FROM tx WHERE tx.fold_rule = fo.fold_rule AND tx.b = kp.b) GROUP BY fold_rule)
+        SELECT fold_rule, coalesce(pairs, 0) + coalesce(own, 0) AS training_pairs, coalesce(own, 0) AS new_rule_training_pairs, coalesce(pairs, 0) + 2 * coalesce(own, 0) AS epoch_occurrences FROM fo LEFT JOIN pr USING (fold_rule) LEFT JOIN ow USING (fold_rule)"""
     q["replicated_rows"] = _pairs + " SELECT rule_violation, CAST(sum(repeat) AS BIGINT) AS rows FROM p GROUP BY ALL"
     q["new_rules"] = f"SELECT {N('rule')} AS rule FROM test WHERE rule IS NOT NULL EXCEPT SELECT {N('rule')} FROM train WHERE rule IS NOT NULL"
     q["purged_rows"] = _purged
@@ -169,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
     q["lexical_evidence"] = _lexical("test") + " SELECT query_id, context_id, label, place, support_id, round(similarity, 6) AS similarity FROM near"
     q["lexical_contributions"] = _lexical("test") + " SELECT query_id, context_id, support_id, term, round(contribution, 6) AS contribution, CAST(boost AS DOUBLE) AS boost FROM con JOIN n USING (query_id, context_id) WHERE n.labels = 2"
     q["query_coverage"] = _lexical("test") + " SELECT query_id, context_id, query_words, matched_words, round(coverage, 6) AS coverage FROM cv"
-    q["challenge_grouping_sets"] = _lexical("train") + f""", z AS (SELECT context_id AS policy, lower(trim(t.subreddit)) AS slice, CASE WHEN t.rule_violation = 1 THEN 'violation' ELSE 'allowed' END AS expected, CASE state WHEN 'VIOLATION_MATCH' THEN 'violation' WHEN 'ALLOWED_MATCH' THEN 'allowed' ELSE 'abstain' END AS decision FROM res JOIN train t ON t.row_id = res.query_id WHERE NOT failed AND t.subreddit IS NOT NULL),
+    q["challenge_grouping_sets"] = _lexical("train") + f""", z AS (SELECT context_id AS policy, lower(trim(t.subreddit)) AS slice, CASE WHEN t.rule_violation = 1 THEN 'violation' ELSE 'allowed' END AS expected, CASE state WHEN 'VIOLATION_MATCH' THEN 'violation' WHEN 'ALLOWED_MATCH' THEN 'allowed' ELSE 'abstain' END AS decision FROM res JOIN train t ON t.row_id = res.query_id WHERE NOT failed),
         y AS (SELECT slice, policy, (CASE WHEN grouping(slice) = 0 THEN 'slice' ELSE '' END) || (CASE WHEN grouping(policy) = 0 THEN 'policy' ELSE '' END) AS level, count(*) AS cases, count(*) FILTER (expected = decision) AS correct, count(*) FILTER (expected <> decision) AS failures, count(*) FILTER (expected <> 'abstain') AS labeled_cases, count(*) FILTER (expected <> 'abstain' AND decision <> 'abstain') AS decided_labeled_cases, count(*) FILTER (expected <> 'abstain' AND decision = expected) AS rt,
         count(*) FILTER (expected = 'allowed' AND decision = 'violation') AS false_violations, count(*) FILTER (expected = 'violation' AND decision = 'allowed') AS false_allowances, count(*) FILTER (expected = 'abstain') AS unsupported_cases, count(*) FILTER (expected = 'abstain' AND decision = 'abstain') AS unsupported_abstentions FROM z GROUP BY GROUPING SETS ((), (slice), (policy)))
         SELECT slice, policy, level, cases, correct, failures, {_rate('correct', 'cases')} AS agreement, labeled_cases, decided_labeled_cases, {_rate('decided_labeled_cases', 'labeled_cases')} AS decision_coverage, {_rate('rt', 'decided_labeled_cases')} AS selective_agreement, false_violations, false_allowances, unsupported_cases, unsupported_abstentions FROM y"""
@@ -180,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
     q["pointwise_metrics"] = _sc + " " + _point.format(src="sc")
     q["ece10"] = _sc + f" SELECT model, protocol, round(sum(n * abs(oy - mp)) / sum(n), 6) AS ece FROM ({_bins}) GROUP BY ALL"
     q["calibration_table"] = _sc + f" SELECT model, protocol, bin, round(mp, 6) AS mean_probability, round(oy, 6) AS observed_rate, n AS rows FROM ({_bins})"
-    q["error_review"] = _sc + ", m AS (SELECT row_id, model, protocol, abs(max(rule_violation) - max(probability)) AS e FROM sc GROUP BY row_id, model, protocol) SELECT row_id, model, protocol, round(e, 6) AS absolute_error FROM m ORDER BY e DESC, model, protocol, row_id LIMIT 100"
+    q["error_review"] = _sc + ", m AS (SELECT row_id, model, protocol, abs(max(rule_violation) - max(probability)) AS e FROM sc GROUP BY row_id, model, protocol) SELECT row_id, model, protocol, round(e, 6) AS absolute_error FROM m"
     q["policy_ranks"] = _sc + " SELECT row_id, model, protocol, rule, fold, round(probability, 6) AS probability, round((rank() OVER (PARTITION BY model, protocol, rule ORDER BY probability) + (count(*) OVER (PARTITION BY model, protocol, rule, probability) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY model, protocol, rule), 6) AS rank FROM sc"
     q["rank_blend"] = f"SELECT vec_id, round(0.5 * {_rank(1)} + 0.25 * {_rank(2)} + 0.25 * {_rank(3)}, 6) AS blended FROM embeddings"
     q["oof_coverage"] = "WITH i AS (SELECT DISTINCT row_id FROM train), g AS (SELECT model, protocol, o.row_id, count(*) AS n, any_value(i.row_id) AS known FROM oof o LEFT JOIN i ON o.row_id = i.row_id GROUP BY ALL) SELECT model, protocol, count(*) AS predicted, count(*) FILTER (n > 1) AS repeated, (SELECT count(*) FROM i) - count(known) AS missing, count(*) FILTER (known IS NULL) AS unknown FROM g GROUP BY ALL"

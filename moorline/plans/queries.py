@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -109,7 +108,7 @@ def _forbidden(s: SparkSession, d: str) -> DataFrame:
 
 
 def _marked(s: SparkSession, d: str) -> DataFrame:
-    return support.statuses(support.candidates(table(s, d, "train"), table(s, d, "test")), _forbidden(s, d))
+    return support.classes(support.candidates(table(s, d, "train"), table(s, d, "test")), _forbidden(s, d))
 
 
 @query
@@ -123,6 +122,12 @@ def support_audit(s: SparkSession, d: str) -> DataFrame:
     return a.select("candidate_occurrences", "forbidden_text_occurrences", "conflicting_pairs", "conflicting_occurrences", "duplicate_occurrences", "retained_pairs", *(F.coalesce(F.col("by_source")[x], F.lit(0)).alias(x) for x in ("available_support", "train_body", "train_support")))
 
 
+@query
+def support_invariants(s: SparkSession, d: str) -> DataFrame:
+    """Whether the counters of the support audit add up to all candidates, and these to all texts there are."""
+    return support.audit_holds(table(s, d, "train"), table(s, d, "test"), support.support_audit(_marked(s, d)))
+
+
 @query
 def adaptation_repeats(s: SparkSession, d: str) -> DataFrame:
     train, test = table(s, d, "train"), table(s, d, "test")
@@ -166,6 +171,17 @@ def study_counts(s: SparkSession, d: str) -> DataFrame:
     return splits.study_counts(table(s, d, "train"))
 
 
+@query
+def study_audit(s: SparkSession, d: str) -> DataFrame:
+    """Training pairs, those of the new rule and the occurrences in an epoch, of the study of every rule by normalised text."""
+    return splits.study_audit(table(s, d, "train"))
+
+
+@query
+def epoch_order(s: SparkSession, d: str) -> DataFrame:
+    return splits.epoch_order(table(s, d, "train"), "row_id", 2025, 1).select("row_id", big("place").alias("place"))
+
+
 STUDY_RULE = "No spoilers: do not reveal important details of a story without a warning."
 
 
@@ -265,10 +281,10 @@ def policy_compare(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def challenge_grouping_sets(s: SparkSession, d: str) -> DataFrame:
-    """The engine's decisions on labelled comments against their labels: in all, by policy and by community."""
+    """The engine's decisions on labelled comments against their labels: in all, by policy and by community, of which one may be null."""
     a = _engine(s, d, "train").analyze().filter("error is null")
     t = table(s, d, "train").select(F.col("row_id").alias("query_id"), F.lower(F.trim("subreddit")).alias("slice"), F.when(F.col("rule_violation") == 1, "violation").otherwise("allowed").alias("expected"))
-    rows = a.join(t.filter("slice is not null"), "query_id").select(F.col("context_id").alias("policy"), "slice", "expected", lexical.decision(F.col("state")).alias("decision"))
+    rows = a.join(t, "query_id").select(F.col("context_id").alias("policy"), "slice", "expected", lexical.decision(F.col("state")).alias("decision"))
     out = challenge.summaries(rows, ["slice", "policy"])
     return out.select(*(r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
@@ -325,8 +341,8 @@ def metric_record(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def error_review(s: SparkSession, d: str) -> DataFrame:
-    """The 100 largest errors."""
-    out = metrics.error_review(_scored(s, d).groupBy("row_id", *BY).agg(F.max("rule_violation").alias("rule_violation"), F.max("probability").alias("probability")), 100)
+    """The error of every prediction, the largest first."""
+    out = metrics.error_review(_scored(s, d).groupBy("row_id", *BY).agg(F.max("rule_violation").alias("rule_violation"), F.max("probability").alias("probability")))
     return out.select("row_id", *BY, r6("absolute_error").alias("absolute_error"))
 
 
@@ -447,6 +463,12 @@ def event_window_counts(s: SparkSession, d: str) -> DataFrame:
     return events.window_counts(table(s, d, "run_log")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_name", "events", "late")
 
 
+@query
+def kept_last(s: SparkSession, d: str) -> DataFrame:
+    """The last two log rows of each run and stage, as a retention of checkpoints keeps them."""
+    return events.keep_last(table(s, d, "run_log"), ["run_id", "stage"], 2).select("run_id", "stage", "log_id")
+
+
 @query
 def latest_run(s: SparkSession, d: str) -> DataFrame:
     return events.latest_run(table(s, d, "run_log")).select("stage", "run_id")
@@ -462,11 +484,11 @@ def click_windows(s: SparkSession, d: str) -> DataFrame:
 def streamed_windows(s: SparkSession, d: str) -> DataFrame:
     """The run log as a stream of what is there: windows of an hour per event, the last ones too; repeats and rows later than a day left out."""
     folder = f"{d}/run_log.parquet"
-    out = tempfile.mkdtemp(prefix="stream-", dir=shared_dir(s).removeprefix("file:")) if "://" not in shared_dir(s).removeprefix("file://") else shared_dir(s)
+    out = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     stream = s.readStream.schema(table(s, d, "run_log").schema).option("recursiveFileLookup", True).parquet(folder if not folder.endswith(".parquet") or _is_dir(folder) else f"{d}/run_log*.parquet")
     stream = streams.closed(stream, "logged_at", f"{out}/end-{uuid.uuid4().hex}", key="log_id")
     streams.replay(streams.windowed(stream, "logged_at", "event_name", key="log_id"), f"{out}/rows", f"{out}/state").awaitTermination()
-    return s.read.schema("window_start timestamp, event_name string, events bigint").parquet(f"{out}/rows")
+    return s.read.schema("window_start timestamp, event_name string, events bigint").parquet(f"{out}/rows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _is_dir(path: str) -> bool:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moorline.functions import numeric, text
-from moorline.operators import audit, challenge, contracts, events, lexical, metrics, model, prompts, scan, splits, support, tfidf
+from moorline.operators import audit, challenge, contracts, events, lexical, match, metrics, model, prompts, scan, splits, support, tfidf
 from moorline.sources import tables
 from moorline.sources.store import Store
 
@@ -97,12 +97,13 @@ def test_support_counters_and_order(spark):
     t = t.union(clash)
     test = t.drop("rule_violation")
     bad = spark.createDataFrame([("body 0 3 text",)], "b string")
-    marked = support.statuses(support.candidates(t, test), bad)
+    marked = support.classes(support.candidates(t, test), bad)
     a = one(support.support_audit(marked))
     assert a["candidate_occurrences"] == 5 * 27 + 4 * 27 == a["forbidden_text_occurrences"] + a["conflicting_occurrences"] + a["duplicate_occurrences"] + a["retained_pairs"]
     assert a["forbidden_text_occurrences"] == 1 and a["conflicting_pairs"] == 3 and sum(a["by_source"].values()) == a["retained_pairs"]
     rows = lambda m: {tuple(r) for r in m.filter("status = 'retained'").select("normalized_rule", "normalized_body", "source").collect()}
-    assert rows(marked) == rows(support.statuses(support.candidates(t.orderBy(F.desc("row_id")), test), bad))
+    assert rows(marked) == rows(support.classes(support.candidates(t.orderBy(F.desc("row_id")), test), bad))
+    assert support.audit_holds(t, test, support.support_audit(marked)).first().holds
     rep = support.repeats(support.support_pairs(t.filter("rule = 'No ads'"), test), t.filter("rule = 'No ads'"))
     assert {tuple(r) for r in rep.select("rule", "repeat").distinct().collect()} == {("No ads", 1), ("Be kind", 2)}
 
@@ -126,6 +127,24 @@ def test_splits(spark):
         support.check_study(training.union(queries.limit(1).select("body", "rule", F.lit(1), F.lit(1))), queries)
 
 
+def test_study_counters_and_orders(spark):
+    t = frame(spark, 9)
+    made = {r.fold_rule: (r.n, r.own, r.e) for r in splits.study_folds(t).groupBy("fold_rule").agg(F.count("*").alias("n"), F.count_if(F.col("repeat") == 2).alias("own"), F.sum("repeat").alias("e")).collect()}
+    assert {r.fold_rule: tuple(r)[1:] for r in splits.study_audit(t).collect()} == made and len(made) == 2
+    order = {r.row_id: r.place for r in splits.epoch_order(t, "row_id", 1, 0).collect()}
+    assert sorted(order.values()) == list(range(18)) and order == {r.row_id: r.place for r in splits.epoch_order(t.orderBy(F.rand(3)), "row_id", 1, 0).collect()}
+    assert order != {r.row_id: r.place for r in splits.epoch_order(t, "row_id", 1, 1).collect()}
+
+
+def test_structural_match(spark):
+    of = lambda x: match.flattened(spark.createDataFrame([(1, x), (2, None)], "id int, j string"), ["id"], "j")
+    a = of('{"n": 1, "p": 0.5, "s": "x", "l": [1, 2], "b": true, "z": null}')
+    assert match.differences(a, of('{"n": 1, "p": 0.5000000000001, "s": "x", "l": [1, 2], "b": true, "z": null}'), ["id"]).isEmpty()
+    got = {r.path: r.problem for r in match.differences(a, of('{"n": 2, "p": 0.6, "s": "y", "l": [1], "b": 1, "extra": 0}'), ["id"]).collect()}
+    assert got == {"/n": "value", "/p": "value", "/s": "value", "/l": "type", "/l/1": "missing", "/b": "type", "/z": "missing", "/extra": "unexpected"}
+    assert [r.type for r in of("{broken").collect()] == ["invalid"]
+
+
 def test_study_of_every_rule(spark, tmp_path):
     from moorline.plans import queries
 
