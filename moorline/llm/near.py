@@ -272,6 +272,12 @@ def close_pairs(x: _Bodies, y: _Bodies | None = None, step: int = 256) -> tuple[
         r, c = np.nonzero(far <= most)
         most = most[r, c]
         r, c = r + i, c + a
+        wide = np.minimum(code_words(x.n[r]), code_words(y.n[c]))
+        ok = np.ones(len(r), bool)
+        for w in np.unique(wide[wide > width]):  # longer bodies by their longer codes
+            at = np.flatnonzero(wide == w)
+            ok[at] = np.bitwise_count(x.fold(int(w), 0)[:, r[at]] ^ y.fold(int(w), 0)[:, c[at]]).sum(0) <= most[at]
+        r, c, most = r[ok], c[ok], most[ok]
         # What comes before the first shared element is in one body alone; and each must be long enough for the other.
         ok = (x.place[r] + y.place[c] <= most) & (np.minimum(x.n[r], y.n[c]) >= np.maximum(x.least[r], y.least[c]))
         ok &= r < c if alone else x.id[r] != y.id[c]
@@ -296,12 +302,13 @@ def _few_pairs(block: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndar
     ok = (np.minimum(n[i], n[j]) >= np.maximum(least[i], least[j])) & (place[i] + place[j] <= most) & (ids[i] != ids[j])
     i, j, most = i[ok], j[ok], most[ok]
     width = code_words(n)
-    two = np.zeros((len(n), 2), np.uint64)
-    for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        c = np.frombuffer(b"".join(codes.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), w // 2, 2)
-        two[at] = np.bitwise_xor.reduce(c, axis=1)
-    ok = np.bitwise_count(two[i] ^ two[j]).sum(1) <= most
+    wide, ok = np.minimum(width[i], width[j]), np.zeros(len(i), bool)
+    for w in np.unique(wide):  # by the shorter code, to which the longer is folded
+        at, folded = np.flatnonzero(wide == w), np.zeros((len(n), w), np.uint64)
+        for own in np.unique(width[width >= w]):
+            of = np.flatnonzero(width == own)
+            folded[of] = np.bitwise_xor.reduce(np.frombuffer(b"".join(codes.take(pa.array(of)).to_pylist()), np.uint64).reshape(len(of), own // w, w), axis=1)
+        ok[at] = np.bitwise_count(folded[i[at]] ^ folded[j[at]]).sum(1) <= most[at]
     i, j = i[ok], j[ok]
     swap = (side[i] > side[j]) if not alone else np.zeros(len(i), bool)
     return np.where(swap, ids[j], ids[i]), np.where(swap, ids[i], ids[j])
