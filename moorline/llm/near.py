@@ -192,10 +192,10 @@ def parity_codes(tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, width
 
 
-def blocks(toks: DataFrame, order: Order, key: str = "row_id", codes: bool = True) -> DataFrame:
+def blocks(toks: DataFrame, order: Order, key: str = "row_id", codes: bool = True, above: int = 0) -> DataFrame:
     """k, key, n, place, code of the blocks of every body: its elements up to the last that a near body must share, rare ones first. The scope takes part in k.
 
-    An element of one body alone is no block. With codes=False only k.
+    An element of one body alone is no block. With codes=False only k; with `above` only of elements that more bodies may hold.
     """
     shared = toks.sparkSession.sparkContext.broadcast(order)
     ddl = f"k bigint, {key} bigint, n int, place int, code binary" if codes else "k bigint"
@@ -203,6 +203,9 @@ def blocks(toks: DataFrame, order: Order, key: str = "row_id", codes: bool = Tru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, whole = _ranks(shared.value), shared.value.whole
+        many = np.zeros(_CELLS, np.int64)
+        np.add.at(many, shared.value.element & np.uint32(_CELLS - 1), shared.value.bodies)
+        many = (many > above) | (np.zeros(1, bool) if whole else rank == 0)  # what is not listed may be in any number of bodies
         for all_ in batches:
             for at in range(0, all_.num_rows, 2000):
                 batch = all_.slice(at, 2000)
@@ -214,6 +217,8 @@ def blocks(toks: DataFrame, order: Order, key: str = "row_id", codes: bool = Tru
                 use = place <= np.repeat(n - least_shared(n), n)
                 if whole:
                     use &= (s >> np.uint64(32)) & np.uint64((1 << 21) - 1) > 0
+                if above:
+                    use &= many[s & np.uint64(_CELLS - 1)]
                 s, place, doc = s[use] & np.uint64(0xFFFFFFFF), place[use].astype(np.int32), (s[use] >> np.uint64(53)).astype(np.int64)
                 scope = batch.column(1).to_numpy().view(np.uint64)
                 k = pa.array(_mix(s + _mix(scope[doc])).view(np.int64))
@@ -379,7 +384,7 @@ def hot_blocks(toks: DataFrame, order: Order, key: str, hot: int) -> DataFrame |
     """k of the blocks of more than `hot` bodies; None where no element is in so many."""
     if order.whole and not (order.bodies > hot).any():
         return None
-    return written(blocks(toks, order, key, codes=False).groupBy("k").agg(F.count("*").alias("m")).filter(F.col("m") > hot).select("k"), "hot")
+    return written(blocks(toks, order, key, codes=False, above=hot).groupBy("k").agg(F.count("*").alias("m")).filter(F.col("m") > hot).select("k"), "hot")
 
 
 def cells(x: DataFrame, y: DataFrame, hot: int) -> DataFrame:

@@ -32,7 +32,8 @@ def cross_split_pairs(train: DataFrame, test: DataFrame, hot: int | None = None)
     both = ta.unionByName(tb)
     order, hot = frequencies(both), hot or HOT
     y = blocks(tb, order).withColumn("side", F.lit(1))
-    x = only_in(blocks(ta, order), "k", blocks(tb, order, codes=False), "k").withColumn("side", F.lit(0))
+    asked = written(blocks(tb, order, codes=False).distinct(), "asked")
+    x = only_in(blocks(ta, order), "k", asked, "k").withColumn("side", F.lit(0))
     large = hot_blocks(both, order, "row_id", hot)
     if large is None or large.isEmpty():
         pairs = block_pairs(x.unionByName(y), "row_id", alone=False)
