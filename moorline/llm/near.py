@@ -157,8 +157,8 @@ def frequencies(toks: DataFrame) -> Order:
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c)], names=["t", "c"])
 
     counts = toks.filter("size(toks) > 0").select("toks").mapInArrow(count, "t int, c bigint").groupBy("t").agg(F.sum("c").alias("c")).filter("c > 1")
-    top = counts.orderBy(F.desc("c"), "t").limit(RANKED).toPandas()
-    return Order(top.t.to_numpy(np.int32).view(np.uint32), top.c.to_numpy(np.int64), len(top) < RANKED)
+    top = counts.orderBy(F.desc("c"), "t").limit(RANKED).toArrow()
+    return Order(top["t"].to_numpy().astype(np.int32).view(np.uint32), top["c"].to_numpy().astype(np.int64), len(top) < RANKED)
 
 
 def _ranks(order: Order) -> np.ndarray:
