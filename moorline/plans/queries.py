@@ -210,9 +210,10 @@ def lexical_terms(s: SparkSession, d: str) -> DataFrame:
 
 
 def _control(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = tfidf.cells(table(s, d, "train"))
-    tf = tfidf.counts(docs)
-    return tf, tfidf.vocabulary(tf, docs.count())
+    """The documents of every cell, and their vocabulary."""
+    train = table(s, d, "train")
+    docs = tfidf.gathered(train)
+    return docs, tfidf.terms_of(train, docs)
 
 
 @query
@@ -222,12 +223,14 @@ def vocabulary_top(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def tfidf_documents(s: SparkSession, d: str) -> DataFrame:
-    return tfidf.weights(*_control(s, d)).groupBy("row_id", "field").agg(F.count("*").alias("terms"), r6(F.max("w")).alias("greatest"), r6(F.sum("w")).alias("total"))
+    docs, terms = _control(s, d)
+    return tfidf.document_sums(docs, tfidf.Vocabulary(terms)).select("row_id", "field", "terms", r6("greatest").alias("greatest"), r6("total").alias("total"))
 
 
 @query
 def context_similarities(s: SparkSession, d: str) -> DataFrame:
-    out = tfidf.context_similarities(tfidf.weights(*_control(s, d)), table(s, d, "train"))
+    docs, terms = _control(s, d)
+    out = tfidf.context_similarities(docs, tfidf.Vocabulary(terms), table(s, d, "train"))
     return out.select("row_id", *(r6(c).alias(c) for c in out.columns[1:]))
 
 

@@ -264,6 +264,33 @@ def test_tfidf_and_control(spark):
     assert fitted.coefficients().filter("feature = 'similarity_margin'").count() == 1
 
 
+def odd_cells(spark):
+    """Rows of which some share a row_id or have none, with empty and null cells and terms beyond ASCII."""
+    t = frame(spark, 12).withColumn("row_id", F.when(F.col("row_id") % 5 == 0, F.lit(7)).when(F.col("row_id") == 3, F.lit(None)).otherwise(F.col("row_id")))
+    return t.withColumn("body", F.when(F.col("row_id") == 1, None).when(F.col("row_id") == 2, F.lit("")).when(F.col("row_id") == 4, F.lit("Stra\u00dfe \u00c9 K\u00e9\u0663 don\u2019t x_y be KIND Be kind")).otherwise(F.col("body")))
+
+
+def test_tfidf_documents_shuffle_no_terms(spark, tmp_path):
+    from moorline.plans import queries
+
+    odd_cells(spark).write.parquet(str(tmp_path / "train.parquet"))
+    t = spark.read.parquet(str(tmp_path / "train.parquet"))
+    docs = tfidf.cells(t)
+    tf = tfidf.counts(docs)
+    top = tfidf.vocabulary(tf, docs.count())
+    assert {tuple(r) for r in queries.queries()["vocabulary_top"](spark, str(tmp_path)).collect()} == {(r.term, r.n, r.df, round(r.idf, 6)) for r in top.collect()}
+    want = tfidf.weights(tf, top).groupBy("row_id", "field").agg(F.count("*"), F.round(F.max("w"), 6), F.round(F.sum("w"), 6))
+    got = queries.queries()["tfidf_documents"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plain = queries.queries()["tfidf_documents"](spark, str(plain_table(frame(spark, 12), tmp_path / "plain")))
+    assert "Exchange" not in plain._jdf.queryExecution().toString()  # neither terms nor documents are shuffled
+
+
+def plain_table(df, at):
+    df.write.parquet(str(at / "train.parquet"))
+    return at
+
+
 def test_scan(spark):
     df = spark.createDataFrame([(1, "password = 'abcdefghijkl123'"), (2, "see hxxps://a.b/c and <img src=//x.y>"), (3, None)], "id bigint, t string")
     assert {(r.id, r.finding) for r in scan.findings(df, "id", "t").collect()} == {(1, "secret"), (2, "link"), (2, "remote_asset")}
