@@ -291,6 +291,20 @@ def plain_table(df, at):
     return at
 
 
+def test_control_is_at_its_optimum(spark):
+    t = frame(spark, 40).withColumn("rule_violation", F.when(F.col("row_id") % 10 < 2, 0).otherwise(1)).withColumn("body", F.concat(F.lit("plain topic "), (F.col("row_id") % 7).cast("string"), F.when(F.col("rule_violation") == 1, F.lit(" buy now")).otherwise(F.lit(" thanks all"))))
+    fitted = model.fit(t, True)
+    docs = tfidf.gathered(t, tfidf.COLUMNS, F.col("rule_violation").cast("double"))
+    rows = model.entries(docs, fitted.terms, True).collect()
+    w = fitted.model.coefficients.toArray()
+    g = w / (model.C * len(rows))
+    for r in rows:
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(r.indices, r.values, strict=True))))
+        for i, v in zip(r.indices, r.values, strict=True):
+            g[i] += (p - r.labels[0]) * v / len(rows)
+    assert abs(g).max() < 1e-4 and w[-1] > 0.01  # the constant's weight is fitted too
+
+
 def test_scan(spark):
     df = spark.createDataFrame([(1, "password = 'abcdefghijkl123'"), (2, "see hxxps://a.b/c and <img src=//x.y>"), (3, None)], "id bigint, t string")
     assert {(r.id, r.finding) for r in scan.findings(df, "id", "t").collect()} == {(1, "secret"), (2, "link"), (2, "remote_asset")}
