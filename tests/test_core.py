@@ -305,6 +305,24 @@ def test_control_is_at_its_optimum(spark):
     assert abs(g).max() < 1e-4 and w[-1] > 0.01  # the constant's weight is fitted too
 
 
+def test_context_similarities_join_no_terms(spark, tmp_path):
+    from moorline.plans import queries
+
+    odd_cells(spark).write.parquet(str(tmp_path / "train.parquet"))
+    t = spark.read.parquet(str(tmp_path / "train.parquet"))
+    docs = tfidf.cells(t)
+    tf = tfidf.counts(docs)
+    w = tfidf.weights(tf, tfidf.vocabulary(tf, docs.count()))
+    body = w.filter("field = 'body'").select("row_id", "term", F.col("w").alias("b"))
+    want = {(r.row_id, r.field): r.s for r in w.filter("field <> 'body'").join(body, ["row_id", "term"]).groupBy("row_id", "field").agg(F.sum(F.col("w") * F.col("b")).alias("s")).collect()}
+    got = queries.queries()["context_similarities"](spark, str(tmp_path))
+    rows = got.collect()
+    assert sorted(str(r.row_id) for r in rows) == sorted(str(r.row_id) for r in t.select("row_id").collect())  # a row for each row
+    assert all(abs(r[f"similarity_{c}"] - want.get((r.row_id, c), 0.0)) < 2e-6 for r in rows for c in tfidf.COLUMNS[1:])
+    plain = queries.queries()["context_similarities"](spark, str(plain_table(frame(spark, 12), tmp_path / "plain")))
+    assert "Exchange" not in plain._jdf.queryExecution().toString()
+
+
 def test_scan(spark):
     df = spark.createDataFrame([(1, "password = 'abcdefghijkl123'"), (2, "see hxxps://a.b/c and <img src=//x.y>"), (3, None)], "id bigint, t string")
     assert {(r.id, r.finding) for r in scan.findings(df, "id", "t").collect()} == {(1, "secret"), (2, "link"), (2, "remote_asset")}
