@@ -148,6 +148,21 @@ def test_near_at_the_bound(spark):
     assert got == {(2 * i, 2 * i + 1) for i in range(200)}
 
 
+def test_near_groups_compare_one_copy_of_a_body(spark, monkeypatch):
+    """A table repeated with shifted keys: the copies stand in other partitions, and one of them is compared."""
+    texts = bodies(4, 40)
+    rows = [(1000 * k + i, t) for k in range(8) for i, t in enumerate(texts)] + [(7777, texts[0]), (7777, "word " * 30), (3, "word " * 30), (None, texts[1])]
+    compared = []
+    links = near.near_links
+    monkeypatch.setattr(near, "near_links", lambda toks, key, hot: compared.append(toks.filter("size(toks) > 0").count()) or links(toks, key, hot))
+    df = spark.createDataFrame(rows, "row_id bigint, body string").repartitionByRange(8, "row_id")
+    got = {tuple(x) for x in near.near_groups(df).filter("row_id > first_row_id").collect()}
+    known = [x for x in rows if x[0] is not None]
+    same = [(a[0], b[0]) for a, b in itertools.combinations(known, 2) if brute_near(a[1], b[1])]
+    assert got == groups(same)
+    assert compared == [len({tuple(sorted(near.words_of(t))) for _, t in rows if len(near.words_of(t)) >= 25})]
+
+
 @pytest.mark.parametrize("hot", [None, 3])
 def test_cross_split_blocks_of_any_size(spark, hot):
     texts = bodies(6, 90)
