@@ -159,6 +159,17 @@ def test_study_of_every_rule(spark, tmp_path):
     assert not any(r.body.startswith("Body 0") for r in got) and {r.fold_rule for r in got} == {"no ads"}
 
 
+
+def test_study_of_every_rule_shuffles_pairs_once(spark):
+    t = frame(spark, 12, ("No ads", "Be kind", "No spam"))
+    shared = F.when(F.col("row_id").isin(3, 105, 207), F.lit("One text")).when(F.col("row_id").isin(4, 106), F.col("positive_example_1")).otherwise(F.col("body"))
+    t = t.withColumn("body", shared).withColumn("rule", F.when(F.col("row_id") == 207, F.lit(None)).otherwise(F.col("rule")))
+    made = splits.study_folds(t)
+    want = {(rule.lower(), *r) for rule in ("No ads", "Be kind", "No spam") for r in splits.study_fold(t, rule)[0].collect()}
+    assert {tuple(r) for r in made.collect()} == want
+    assert "hashpartitioning(normalized_body" not in made._jdf.queryExecution().toString()
+
+
 def scored(spark, y, p, rules):
     return spark.createDataFrame([(i, r, a, float(b)) for i, (a, b, r) in enumerate(zip(y, p, rules, strict=True))], "row_id bigint, rule string, rule_violation int, probability double")
 
