@@ -1,9 +1,10 @@
 """Problem 10: the subject areas of each document, several or none, and their shares of the corpus.
 
-Method: labels are propagated over a verified graph of similar documents by iterative joins. Documents that hold the
-same pair of words in a sentence are neighbours; an edge counts if their words are alike enough. Labelled documents are
-clamped to their subjects, or to none, and any document may have several. What has reached a document leans the reading
-of its sentences: the words' weights for each subject are counted over the labelled documents, then over all sentences
+Method: labels are propagated over the graph of similar documents. All documents that share a word are neighbours, and
+an edge is the sum over all common words of what each tells. Edges are never listed: what a word's documents know is
+summed at the word and told from there to each of them, so a round takes time by the words, not by the pairs. Labelled
+documents are clamped to their subjects, or to none, and any document may have several. What has reached a document
+leans the reading of its sentences: the words' weights for each subject are counted over the labelled documents, then over all sentences
 as they are read, and a document has every subject that a fifth of its sentences are about.
 """
 
@@ -26,10 +27,8 @@ SHARE = 0.19  # "about a fifth"
 NONE = "none"
 #: Words are kept as one of so many cells; a heavy word outweighs the rare ones beside it. Subjects stored for a cell at most.
 CELLS, TOP = 1 << 18, 16
-#: Pairs of words by which a document looks for neighbours (those of least hash, so that like documents pick the same), neighbours to either side.
-HUBS, BESIDE = 8, 2
-#: A word in more than this share of the documents says nothing about likeness; the weighted share of common words that an edge needs.
-COMMON, ALIKE = 0.2, 0.12
+#: A word in more than this share of the documents says nothing about likeness.
+COMMON = 0.2
 #: Rounds of propagation and of reading; what a document's graph label adds to a subject's share before reading.
 ROUNDS, READINGS, LEAN = 4, 3, 0.1
 #: Sentences by which a word's labels are drawn to the corpus; the weight below which no sentence is about an area.
@@ -76,6 +75,11 @@ def sentence_cells(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"{key} bigint, lens array<int>, cells array<int>")
 
 
+def _few(docs: DataFrame) -> DataFrame:
+    """All rows in at most two tasks a core: every task sends sums of about the same size, so what is shuffled doesn't grow with the table."""
+    return docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("at").agg(F.sum("c").alias("c"))
 
@@ -98,74 +102,111 @@ def document_frequencies(sent: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def similar_documents(sent: DataFrame, frequency: np.ndarray, n: int, key: str = "doc_id") -> DataFrame:
-    """a, b, w: verified edges between documents, of bounded degree.
+class Told(NamedTuple):
+    """For each cell its labels, and how much of each it tells a document that holds it."""
+
+    start: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
 
-    A document comes once for each of its HUBS pairs of words; in the order of pairs and of a hash of documents each is
-    held against the next BESIDE ones of its pair. The order is divided by ranges, so a pair that a third of all
-    documents hold is read by many tasks. w is the weighted share of common words (Jaccard, by inverse frequency).
+
+def _told(sums: DataFrame, classes: int, weight: np.ndarray) -> Told:
+    """From (at, c), at = cell * classes + label: a cell tells the mean of its documents, by its weight and by how far that is from the mean of all."""
+    got = sums.toArrow()
+    at, c = got["at"].to_numpy(), got["c"].to_numpy()
+    del got
+    order = np.argsort(at)
+    cell, label, c = at[order] // classes, at[order] % classes, c[order]
+    total, prior = np.bincount(cell, c, CELLS), np.bincount(label, c, classes)
+    prior /= max(prior.sum(), 1e-9)
+    part = c / total[cell]
+    far = np.maximum(np.bincount(cell, part * np.log(part / prior[label]), CELLS), 0)
+    return Told(np.searchsorted(cell, np.arange(CELLS + 1)), label.astype(np.int32), ((weight * far)[cell] * c / (total[cell] + PRIOR)).astype(np.float32))
+
+
+def _heard(told: Told, cell: np.ndarray, doc: np.ndarray, docs: int, classes: int) -> np.ndarray:
+    """Documents x labels: what the documents' cells tell them. A document that little has reached stays uncertain."""
+    size = (told.start[cell + 1] - told.start[cell]).astype(np.int64)
+    at = np.repeat(told.start[cell] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    m = np.bincount(np.repeat(doc, size) * classes + told.label[at], told.weight[at], docs * classes).reshape(docs, classes)
+    p = m / (m.sum(1, keepdims=True) + 0.1)
+    p[p < 0.02] = 0
+    return p
+
+
+def reached(docs: DataFrame, frequency: np.ndarray, n: int, classes: int, rounds: int = ROUNDS) -> DataFrame:
+    """docs (key, lens, cells, and of labelled ones allowed, q) with label, p: what reaches each document over all that share a word with it; labelled ones keep theirs.
+
+    A word's weight is its inverse frequency; every document and every word within COMMON takes part. The driver holds
+    the labels that each cell meets.
     """
     weight = np.where((frequency > 1) & (frequency <= max(2.0, COMMON * n)), np.log(max(2, n) / np.maximum(frequency, 1)), 0.0).astype(np.float32)
-    shared = sent.sparkSession.sparkContext.broadcast(weight)
-    hub_fields = pa.schema([("hub", pa.int64()), ("order", pa.int64()), (key, pa.int64()), ("words", pa.list_(pa.int32()))])
+    spark, key = docs.sparkSession, docs.columns[0]
+
+    def states(batch: pa.RecordBatch, told: Told | None, good: np.ndarray) -> Iterator[tuple]:
+        """(rows, document and cell of each of its words once, documents x labels)."""
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            cells, allowed, q = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("cells", "allowed", "q"))
+            flat = np.concatenate([np.array(x, np.int64) for x in cells])
+            doc = np.repeat(np.arange(len(cells)), [len(x) for x in cells])
+            use = good[flat]
+            if told is None:
+                use &= np.array([bool(a) for a in allowed])[doc]
+            both = np.unique(doc[use] * CELLS + flat[use])
+            doc, cell = both // CELLS, both % CELLS
+            p = np.zeros((len(cells), classes)) if told is None else _heard(told, cell, doc, len(cells), classes)
+            for k, (a, x) in enumerate(zip(allowed, q, strict=True)):
+                if a:
+                    p[k] = 0
+                    p[k, a] = x
+            yield part, doc, cell, p
+
+    def summed(told: Told | None) -> DataFrame:
+        shared = spark.sparkContext.broadcast((told, weight > 0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+
+            def added() -> tuple[np.ndarray, np.ndarray]:
+                at, where = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
+                return at, np.bincount(where, np.concatenate([c for _, c in held]), len(at))
+
+            for batch in batches:
+                for _, doc, cell, p in states(batch, *shared.value):
+                    d, label = np.nonzero(p)
+                    start = np.searchsorted(doc, np.arange(len(p) + 1))
+                    words = np.diff(start)[d]
+                    c = cell[np.repeat(start[d] - np.cumsum(words) + words, words) + np.arange(words.sum())]
+                    held.append((c * classes + np.repeat(label, words), np.repeat(p[d, label], words)))
+                    size += len(c)
+                    if size > 3_000_000:
+                        held = [added()]
+                        size = len(held[0][0])
+            if held:
+                at, c = added()
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(c, pa.float64())], names=["at", "c"])
+
+        return _summed(_few(docs.select("cells", "allowed", "q")).mapInArrow(run, "at bigint, c double"))
+
+    told = None
+    for _ in range(rounds):
+        told = _told(summed(told), classes, weight)
+    last = spark.sparkContext.broadcast((told, weight > 0))
+    schema = docs.select("*", F.col("allowed").alias("label"), F.col("q").alias("p")).drop("q").schema
 
-    def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                ids, lens, cells = (c.to_pylist() for c in batch.slice(lo, 500).columns)
-                flat = np.concatenate([np.array(x, np.int64) for x in cells])
-                of = np.repeat(np.arange(len(ids)), [len(x) for x in cells])
-                sentence = np.repeat(np.arange(sum(map(len, lens))), [k for x in lens for k in x])
-                good = w[flat] > 0
-                flat, of, sentence = flat[good], of[good], sentence[good]
-                order = np.lexsort((flat, sentence))
-                flat, of, sentence = flat[order], of[order], sentence[order]
-                size = np.bincount(sentence)
-                more = np.repeat(np.cumsum(size), size) - np.arange(len(flat)) - 1
-                i = np.repeat(np.arange(len(flat)), more)  # every pair of words of a sentence
-                j = np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more) + i + 1
-                h = (flat[i] * CELLS + flat[j]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-                h = (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).astype(np.int64)
-                order = np.lexsort((h, of[i]))
-                doc, h = of[i][order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                doc, h = doc[new], h[new]
-                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-                least = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc)))) < HUBS
-                doc, h = doc[least], h[least]
-                ends = np.searchsorted(of, np.arange(len(ids) + 1))
-                words = [np.unique(flat[ends[d] : ends[d + 1]]).astype(np.int32) for d in range(len(ids))]
-                tied = np.array([xxhash.xxh3_64_intdigest(str(x)) >> 1 for x in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(tied[doc]), pa.array(np.array(ids, np.int64)[doc]), pa.array([words[d] for d in doc], pa.list_(pa.int32()))], schema=hub_fields)
-
-    edge_fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, last, total = shared.value, [], {}
-        for batch in batches:
-            a, b, v = [], [], []
-            for hub, _, i, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine, size = set(words), float(w[words].sum())
-                last = [x for x in last if x[0] == hub][-BESIDE:]
-                for _, j, theirs, other in last:
-                    both = float(w[list(mine & theirs)].sum())
-                    if i != j and both >= ALIKE * (size + other - both):
-                        a.append(min(i, j))
-                        b.append(max(i, j))
-                        v.append(both / (size + other - both))
-                last.append((hub, i, mine, size))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float64())], schema=edge_fields)
-
-    rows = sent.select(key, "lens", "cells").mapInArrow(hubs, f"hub bigint, order bigint, {key} bigint, words array<int>")
-    rows = rows.repartitionByRange("hub", "order").sortWithinPartitions("hub", "order")
-    return rows.mapInArrow(edges, "a bigint, b bigint, w double").groupBy("a", "b").agg(F.max("w").alias("w"))
+            for part, _, _, p in states(batch, *last.value):
+                has = [np.flatnonzero(x) for x in p]
+                label, p = pa.array(has, pa.list_(pa.int32())), pa.array([x[h] for x, h in zip(p, has, strict=True)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in (key, "lens", "cells", "allowed")), label, p], names=[key, "lens", "cells", "allowed", "label", "p"])
+
+    return docs.select(key, "lens", "cells", "allowed", "q").mapInArrow(tell, schema)
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """node, label, p of every document that a label reaches; seeds (node, label, p) keep theirs. A document's p add up to at most 1."""
+    """As `reached`, by joins over a graph whose edges (a, b, w) are listed: node, label, p of every node that a label reaches; seeds (node, label, p) keep theirs. A node's p add up to at most 1."""
     both = written(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "edges")
     now = seeds
     for _ in range(rounds):
@@ -279,7 +320,7 @@ def _counted(docs: DataFrame, w: Weights | None, classes: int):  # noqa: ANN202
             at, c = added()
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c)], names=["at", "c"])
 
-    return _summed(docs.select(docs.columns[0], "lens", "cells", "label", "p", "allowed").mapInArrow(run, "at bigint, c double")), shared
+    return _summed(_few(docs.select(docs.columns[0], "lens", "cells", "label", "p", "allowed")).mapInArrow(run, "at bigint, c double")), shared
 
 
 def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,12 +344,11 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key:
     seeds = written(seeds.select("node", "label", (F.lit(1.0) / F.col("n")).alias("p")), "seeds")
     frequency, n = document_frequencies(sent)
     tells = (frequency > 1) & (frequency <= max(2.0, 0.5 * n))
-    reached = propagated(similar_documents(sent, frequency, n, key), seeds)
-    told = reached.groupBy("node").agg(F.collect_list("label").alias("label"), F.collect_list("p").alias("p"))
-    allowed = seeds.groupBy("node").agg(F.collect_list("label").alias("allowed"))
-    every = sent.join(told.withColumnRenamed("node", key), key, "left").join(allowed.withColumnRenamed("node", key), key, "left")
-    every = written(every.select(key, "lens", "cells", "label", "p", "allowed"), "documents")
+    allowed = seeds.groupBy("node").agg(F.collect_list("label").alias("allowed"), F.collect_list("p").alias("q"))
+    base = written(sent.join(allowed.withColumnRenamed("node", key), key, "left").select(key, "lens", "cells", "allowed", "q"), "clamped")
     dropped(sent)
+    every = written(reached(base, frequency, n, classes).select(key, "lens", "cells", "label", "p", "allowed"), "documents")
+    dropped(base)
     w = None
     for _ in range(1 + READINGS):
         counted, sent_out = _counted(every, w, classes)

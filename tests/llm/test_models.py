@@ -189,6 +189,18 @@ def test_graph_labels_are_clamped(spark):
     assert got[1, 0] == got[1, 1] == 0.5 and got[4, 2] == 1.0 and got[2, 0] == got[2, 1] > 0.1 and got[3, 2] > got[3, 0] > 0
 
 
+
+def test_labels_reach_all_documents_of_a_word(spark):
+    cell = areas._Cells()
+    words = [[f"s{k % 2}", *(f"own{k}x{j}" for j in range(12))] for k in range(400)]  # each pair of documents of a side shares one word
+    rows = [(k, [13], [cell[w] for w in x], [k] if k < 2 else None, [1.0] if k < 2 else None) for k, x in enumerate(words)] + [(1000 + k, [1], [cell[f"o{k}"]], None, None) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lens array<int>, cells array<int>, allowed array<int>, q array<double>")
+    frequency, n = areas.document_frequencies(docs)
+    got = {r.doc_id: dict(zip(r.label, r.p, strict=True)) for r in areas.reached(docs, frequency, n, 2, 1).collect()}
+    assert got[0] == {0: 1.0} and got[1] == {1: 1.0}
+    assert all(got[k].get(k % 2, 0) > 0.5 and len(got[k]) == 1 for k in range(2, 400)) and not got[1000]
+
+
 def test_tagger_reads_without_a_tape():
     """What decodes texts gives the scores that the model was fitted with, and the best path of each text."""
     m, r = tagger.Tagger(personal.CHARS, 5), np.random.default_rng(2)
