@@ -163,6 +163,18 @@ def test_near_groups_compare_one_copy_of_a_body(spark, monkeypatch):
     assert compared == [len({tuple(sorted(near.words_of(t))) for _, t in rows if len(near.words_of(t)) >= 25})]
 
 
+def test_near_groups_verify_each_body_once_where_they_are_alike(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(g * 100 + k, " ".join([f"g{g}{w}" for w in words] + [f"own{g}x{k}"])) for g in range(3) for k in range(20)]
+    chain = [(1000 + k, " ".join([*(f"c{j}" for j in range(5 * k, 5 * k + 50))])) for k in range(6)]  # only neighbours are near
+    seen, verified = [], near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs, *x: seen.append(pairs.count()) or verified(pairs, *x))
+    got = {tuple(x) for x in near.near_groups(spark.createDataFrame(rows + chain, "row_id bigint, body string")).filter("row_id > first_row_id").collect()}
+    assert got == groups([(a[0], b[0]) for a, b in itertools.combinations(rows + chain, 2) if brute_near(a[1], b[1])])
+    assert sum(seen) < 80  # of over 570 pairs
+
+
+
 @pytest.mark.parametrize("hot", [None, 3])
 def test_cross_split_blocks_of_any_size(spark, hot):
     texts = bodies(6, 90)
