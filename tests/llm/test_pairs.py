@@ -185,6 +185,18 @@ def test_cross_split_blocks_of_any_size(spark, hot):
     assert want and {tuple(x) for x in overlap.cross_split_pairs(of(train), of(test), hot).collect()} == want
 
 
+@pytest.mark.parametrize(("hot", "few"), [(None, 1000), (None, 0), (3, 1000)])
+def test_cross_split_pairs_of_rows_with_one_id(spark, monkeypatch, hot, few):
+    """The tables' ids may meet: near bodies are a pair also where both rows have the same id."""
+    monkeypatch.setattr(near, "FEW", few, raising=False)
+    texts = bodies(11, 40)
+    train = [(i, t, "r") for i, t in enumerate(texts)]
+    test = [(i, t + " more", "r") for i, t in enumerate(texts)]
+    of = lambda rows: spark.createDataFrame(rows, "row_id bigint, body string, rule string")
+    want = {(a[0], b[0]) for a in train for b in test if brute_near(a[1], b[1])}
+    assert (0, 0) in want and {tuple(x) for x in overlap.cross_split_pairs(of(train), of(test), hot).collect()} == want
+
+
 def test_filters_by_range(spark):
     r = np.random.default_rng(1)
     h = r.integers(-(2**63), 2**63 - 1, 30_000)
