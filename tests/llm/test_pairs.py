@@ -163,6 +163,25 @@ def test_near_groups_compare_one_copy_of_a_body(spark, monkeypatch):
     assert compared == [len({tuple(sorted(near.words_of(t))) for _, t in rows if len(near.words_of(t)) >= 25})]
 
 
+@pytest.mark.parametrize("far", [1, 1 << 40])
+@pytest.mark.parametrize("size", [3, 30])
+def test_pairs_of_many_blocks_are_sent_once(far, size):
+    """Bodies that meet in 40 blocks of one task are one pair of it, whatever the distance of their ids."""
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, ddl):  # noqa: N802
+            self.run = run
+            return self
+
+        select = repartition = sortWithinPartitions = distinct = lambda self, *_: self
+
+    ids = [i * far for i in range(size)]
+    columns = {"k": np.repeat(np.arange(40), size), "row_id": ids * 40, "n": pa.array([30] * 40 * size, pa.int32()), "place": pa.array([0] * 40 * size, pa.int32()), "code": [b"\1" * 16] * 40 * size, "side": pa.array([0] * 40 * size, pa.int32())}
+    found = [p for batch in near.block_pairs(Rows(), "row_id", alone=True).run(pa.table(columns).to_batches(max_chunksize=100)) for p in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert sorted(found) == list(itertools.combinations(ids, 2))
+
+
 def test_near_groups_verify_each_body_once_where_they_are_alike(spark, monkeypatch):
     words = [f"w{k}" for k in range(60)]
     rows = [(g * 100 + k, " ".join([f"g{g}{w}" for w in words] + [f"own{g}x{k}"])) for g in range(3) for k in range(20)]
