@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -194,6 +195,43 @@ def test_near_groups_verify_each_body_once_where_they_are_alike(spark, monkeypat
 
 
 
+@pytest.mark.parametrize(("whole", "at_a_time"), [(1, 80_000), (100, 1500)])
+def test_near_groups_in_passes(spark, monkeypatch, whole, at_a_time):
+    """Large blocks in one task or in cells, in several passes: the same groups, and few pairs with a block's first are verified."""
+    for name, value in (("HOT", 6), ("WHOLE", whole), ("ROWS", at_a_time)):
+        monkeypatch.setattr(near, name, value, raising=False)
+    r = random.Random(5)
+    base = bodies(9, 60)
+    rows = [*enumerate(base)] + [(100 + i, " ".join([*r.sample(WORDS, 20), *r.choices(WORDS, k=15)])) for i in range(150)]
+    rows += [(300 + 20 * g + i, " ".join([*(f"f{g}x{k}" for k in range(60)), *(f"own{g}x{i}x{k}" for k in range(10))])) for g in range(2) for i in range(20)]
+    rows += [(5, "frame " * 10 + " ".join(WORDS)), (5, base[7])]
+    seen, verified, asked, made = [], near.verified, [], near.blocks
+    monkeypatch.setattr(near, "verified", lambda pairs, *x: seen.append(pairs.count()) or verified(pairs, *x))
+    monkeypatch.setattr(near, "blocks", lambda *x, **y: asked.append(y.get("turn", (0, 1))) or made(*x, **y))
+    got = {tuple(x) for x in near.near_groups(spark.createDataFrame(rows, "row_id bigint, body string")).filter("row_id > first_row_id").collect()}
+    want = groups([(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if brute_near(a[1], b[1])])
+    assert want and got == want
+    assert seen[0] < 300 and (whole == 1 or max(n for _, n in asked) > 1)
+
+
+def test_shuffle_files_go_with_the_table(spark, tmp_path):
+    """What was shuffled for a written table is removed when it is there; the session's setting stays."""
+    from pathlib import Path
+
+    def shuffled():
+        return sum(1 for p in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data"))
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = shuffled(), spark.conf.get(key)
+    for k in range(3):
+        assert written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), f"t{k}").count() == 7
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and spark.conf.get(key) == kept
+
+
 @pytest.mark.parametrize("hot", [None, 3])
 def test_cross_split_blocks_of_any_size(spark, hot):
     texts = bodies(6, 90)
