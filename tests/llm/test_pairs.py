@@ -224,12 +224,12 @@ def test_shuffle_files_go_with_the_table(spark, tmp_path):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, kept = shuffled(), spark.conf.get(key)
     for k in range(3):
-        assert written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), f"t{k}").count() == 7
+        made = written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), f"t{k}")
     for _ in range(50):
         if shuffled() <= before:
             break
         time.sleep(0.1)
-    assert shuffled() <= before and spark.conf.get(key) == kept
+    assert shuffled() <= before and spark.conf.get(key) == kept and made.count() == 7
 
 
 @pytest.mark.parametrize("hot", [None, 3])
