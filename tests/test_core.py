@@ -170,6 +170,20 @@ def test_study_of_every_rule_shuffles_pairs_once(spark):
     assert "hashpartitioning(normalized_body" not in made._jdf.queryExecution().toString()
 
 
+def test_study_of_every_rule_is_written_in_few_bytes(spark, tmp_path):
+    """A text that stands in 119 folds is not written 119 times, also where the texts exceed a Parquet dictionary."""
+    import hashlib
+
+    text = lambda i: " ".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(9))
+    rows = [(i, text(i), f"rule {i % 120}", i % 2, text(-i) if i % 50 == 0 else None) for i in range(1, 5001)]
+    t = spark.createDataFrame(rows, "row_id bigint, body string, rule string, rule_violation int, positive_example_1 string")
+    t = t.withColumns({c: F.lit(None).cast("string") for c in splits.EXAMPLES if c != "positive_example_1"}).repartition(1)
+    splits.study_folds(t).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 5000 * 119 + 100 * 120 == out.distinct().count() and out.filter("repeat = 2").count() == 100
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2 * sum(len(r[1]) for r in rows)
+
+
 def scored(spark, y, p, rules):
     return spark.createDataFrame([(i, r, a, float(b)) for i, (a, b, r) in enumerate(zip(y, p, rules, strict=True))], "row_id bigint, rule string, rule_violation int, probability double")
 
